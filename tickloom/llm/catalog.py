@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate
-from tickloom.llm.common import table
+from tickloom.llm import decontaminate, langid, packing, quality, simhash
+from tickloom.llm.common import crc32_of_id, table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,6 +14,31 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.assess(table(spark, sf_dir, "documents")))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc32_of_id(F.col("doc_id")) % 3 == 1
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.group(table(spark, sf_dir, "documents")))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_language_id": op5_language_id,
+    "op7_simhash": op7_simhash,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
 
 ORACLE_SQL: dict[str, str] = {}
