@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import decontaminate, langid, packing, quality, simhash
+from tickloom.llm import chat, decontaminate, langid, packing, pii, quality, sharding, simhash
 from tickloom.llm.common import crc32_of_id, table
 
 
@@ -18,9 +18,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.assess(table(spark, sf_dir, "documents")))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(table(spark, sf_dir, "conversations"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = crc32_of_id(F.col("doc_id")) % 3 == 1
+    held_out = F.coalesce(crc32_of_id(F.col("doc_id")) % 3 == 1, F.lit(False))
     model = langid.fit(docs.where(~held_out))
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
@@ -29,6 +33,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.group(table(spark, sf_dir, "documents")))
 
 
+def op8_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.kd_shards(table(spark, sf_dir, "documents"), n_shards=8))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -36,8 +48,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_quality_rules": op2_quality_rules,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
     "op7_simhash": op7_simhash,
+    "op8_kd_sharding": op8_kd_sharding,
+    "op9_pii": op9_pii,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -7,7 +7,6 @@ document is kept when the posterior probability of being good, given its pattern
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.common import as_texts, byte_texts, cut, mapped
+from tickloom.llm.labelmodel import fit
 
 _SPACE = b" \t\n\r\x0b\x0c"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -101,57 +101,6 @@ RULES = (
 )
 
 
-@dataclass(frozen=True)
-class LabelModel:
-    """P(good) and, for each rule, P(vote | class) for votes bad, good, abstain."""
-
-    prior: float
-    emission: np.ndarray  # rules x classes (bad, good) x votes (bad, good, abstain)
-
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        rules = np.arange(votes.shape[1])
-        like = np.log(self.emission[rules, :, votes]).sum(1) + np.log([1 - self.prior, self.prior])
-        return 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -700, 700)))
-
-
-#: What a rule is taken to be before data speak: it rarely blames a good document, and finds two of five bad ones.
-_RIGHT_ON_GOOD, _RIGHT_ON_BAD = 0.97, 0.4
-#: Weight of that belief against the rows, by class.
-_BELIEF_GOOD, _BELIEF_BAD = 1.0, 0.02
-
-
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
-    """Expectation-maximisation on vote patterns (votes: 0, 1, or 2 for abstain) and how many rows have each.
-
-    Beta priors keep the classes' meaning: a bad document breaks a few rules, a good one hardly any. Abstaining has the same
-    probability in both classes. Without rows the starting model is returned.
-    """
-    n_rules, total = votes.shape[1], float(max(counts.sum(), 1))
-    prior, accuracy = 0.8, np.tile([_RIGHT_ON_BAD, _RIGHT_ON_GOOD], (n_rules, 1))  # P(the vote is right | class, voted)
-    belief = (_BELIEF_BAD * total, _BELIEF_GOOD * total)
-    abstain = np.array([(counts[votes[:, r] == 2].sum() + 1) / (total + 2) for r in range(n_rules)])
-
-    def model() -> LabelModel:
-        e = np.empty((n_rules, 2, 3))
-        e[:, 0, 0], e[:, 0, 1] = accuracy[:, 0], 1 - accuracy[:, 0]
-        e[:, 1, 1], e[:, 1, 0] = accuracy[:, 1], 1 - accuracy[:, 1]
-        e[:, :, :2] *= (1 - abstain)[:, None, None]
-        e[:, :, 2] = abstain[:, None]
-        return LabelModel(prior, e)
-
-    for _ in range(rounds if len(votes) else 0):
-        good = model().posterior(votes)
-        weight = ((1 - good) * counts, good * counts)
-        before = accuracy.copy()
-        prior = float((weight[1].sum() + 1) / (total + 2))
-        for r, c in itertools.product(range(n_rules), range(2)):
-            right, wrong = weight[c][votes[:, r] == c].sum(), weight[c][votes[:, r] == 1 - c].sum()
-            accuracy[r, c] = (right + (_RIGHT_ON_BAD, _RIGHT_ON_GOOD)[c] * belief[c]) / (right + wrong + belief[c])
-        if np.abs(accuracy - before).max() < 1e-7:
-            break
-    return model()
-
-
 def assess(docs: DataFrame, threshold: float = 0.5, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, _STATS, base_failed, p_good and kept for each row of docs.
 
