@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import chat, decontaminate, langid, packing, pii, quality, sharding, simhash
+from tickloom.llm import chat, decontaminate, langid, lm, packing, pii, quality, sharding, simhash
 from tickloom.llm.common import crc32_of_id, table
 
 
@@ -29,6 +29,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op6_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.group(table(spark, sf_dir, "documents")))
 
@@ -50,6 +54,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
+    "op6_context_tree_scores": op6_context_tree_scores,
     "op7_simhash": op7_simhash,
     "op8_kd_sharding": op8_kd_sharding,
     "op9_pii": op9_pii,
