@@ -13,7 +13,8 @@ import functools
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ END_ID = 0
 #: Rows of a group in the first round, and groups that merge into one of the next.
 GROUP_ROWS = 50_000
 FAN_IN = 16
-#: Entries of a worker's word cache; it is emptied when full.
+#: Entries of a generation of a worker's word cache.
 CACHE_ENTRIES = 250_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -53,30 +54,54 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {}
+        vocabulary = self._tokenizer.get_vocab()
+        self._after_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._after_space[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # how byte-level BPE writes a space
+        self._first, self._later = WordCache(), WordCache()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         batch = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
-        return [np.array(x.ids, "<u4").tobytes() for x in batch(texts, add_special_tokens=False)]
-
-    def _fill(self, cache: dict[str, bytes], words: set[str], before: str) -> None:
-        missing = [w for w in words if w not in cache]
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache.clear()
-            missing = list(words)
-        for a in range(0, len(missing), 4096):
-            part = missing[a : a + 4096]
-            cache.update(zip(part, self._encode([before + w for w in part]), strict=True))
+        return [np.array(x.ids, "<u4") for x in batch(texts, add_special_tokens=False)]
+
+    def _encode_later(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Words, each after a space. Many share a call: only a word's first token starts with a space."""
+        plain = [w for w in words if w and not w[0].isspace()]
+        parts = [plain[a : a + 64] for a in range(0, len(plain), 64)]
+        for part, ids in zip(parts, self._encode([" " + " ".join(x) for x in parts]), strict=True):
+            coded, starts = ids.tobytes(), (4 * np.flatnonzero(self._after_space[ids])).tolist()
+            yield from zip(part, map(coded.__getitem__, map(slice, starts, [*starts[1:], len(coded)])), strict=True)
+        odd = [w for w in words if not w or w[0].isspace()]
+        yield from zip(odd, (x.tobytes() for x in self._encode([" " + w for w in odd])), strict=True)
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if self._RUN.search(x) else x.split(" ") for x in texts]
-        self._fill(self._first, {x[0] for x in split if x}, "")
-        self._fill(self._later, {w for x in split if x for w in x[1:]}, " ")
-        later = self._later.__getitem__
-        for text, words in zip(texts, split, strict=True):
-            yield self._first[words[0]] + b"".join(map(later, words[1:])) if words else self._encode([text])[0]
+        split = [x.split(" ") for x in texts]
+        if any(not w or w[0].isspace() for w in set(chain.from_iterable(split))):
+            split = [None if self._RUN.search(x) else words for x, words in zip(texts, split, strict=True)]
+        heads = [x[0] if x else "" for x in split]
+        tails = [x[1:] if x else [] for x in split]
+        first = self._first.holding(set(heads), lambda words: zip(words, (x.tobytes() for x in self._encode(words)), strict=True))
+        later = self._later.holding(set(chain.from_iterable(tails)), self._encode_later).__getitem__
+        for text, words, head, tail in zip(texts, split, heads, tails, strict=True):
+            yield first[head] + b"".join(map(later, tail)) if words else self._encode([text])[0].tobytes()
+
+
+class WordCache:
+    """Two generations: when the younger is full it becomes the older, whose words are taken over as they are used again."""
+
+    def __init__(self) -> None:
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def holding(self, words: set[str], make: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> dict[str, bytes]:
+        """A dictionary with all of words."""
+        if len(self._young) > CACHE_ENTRIES:
+            self._old, self._young = self._young, {}
+        young, old = self._young, self._old
+        missing = list(filterfalse(young.__contains__, words))
+        young.update((w, old[w]) for w in missing if w in old)
+        young.update(make(list(filterfalse(young.__contains__, missing))))
+        return young
 
 
 @functools.lru_cache(1)
