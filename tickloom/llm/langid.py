@@ -31,6 +31,8 @@ MAX_BITS = 48
 UNKNOWN = "und"
 #: Under this posterior, or with the runner-up within a factor of three, an answer is ambiguous.
 LEAST_SCORE = 0.55
+#: A text whose best language scores less than this is in none of them.
+KEPT_SCORE = 0.4
 _BLOCK = 1 << 18
 
 #: ASCII letters and all non-ASCII bytes stay; the rest becomes space.
@@ -170,8 +172,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return mapped(as_texts(docs), chunk, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose language is unknown or ambiguous; all columns stay, nothing is shuffled."""
+def keep_identified(docs: DataFrame, model: Model, least_score: float = KEPT_SCORE) -> DataFrame:
+    """docs without the rows whose language is unknown or scores under least_score; all columns stay, nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, held = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
     at = names.index("text")
@@ -179,7 +181,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         lowered = pc.utf8_lower(batch.column(at)).cast(pa.binary()).to_pylist()
-        good = [bool(m.languages) and has_letter(text) and not m.decode(m.margins(grams(low)))[2] for text, low in zip(batch.column(at).to_pylist(), lowered, strict=True)]
+        good = [bool(m.languages) and has_letter(text) and m.decode(m.margins(grams(low)))[1] >= least_score for text, low in zip(batch.column(at).to_pylist(), lowered, strict=True)]
         return batch.filter(pa.array(good, pa.bool_()))
 
     renamed = docs.toDF(*held)
