@@ -88,3 +88,10 @@ def test_scalars(spark):
         keep_finite(F.lit(float("inf"))).alias("f"), epoch_to_time(F.lit(1735603200000), F.lit("2024-12-31").cast("date")).alias("g"), epoch_to_time(F.lit(1735776000000000), F.lit("2025-01-02").cast("date")).alias("h"),
     ).first()
     assert tuple(row) == (-1, 1, 1, None, 2.0, None, datetime(2024, 12, 31), datetime(2025, 1, 2))
+
+
+def test_compat_returns_and_edges(spark):
+    trades = tr.prepared(ticks(spark, MICRO))
+    row = w.with_edges(w.finalize(w.bucketed(trades, HALF), "p", HALF, HALF, compat=True), HALF).where("asset_hold_time > 1").first()
+    assert math.isclose(row.asset_return, -2085.070892, abs_tol=1e-5) and math.isclose(row.asset_return_adj, -869.504125, abs_tol=1e-5)
+    assert (row.window_start, row.window_end) == (DAY + timedelta(seconds=1.5), DAY + timedelta(seconds=2))

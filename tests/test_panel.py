@@ -76,3 +76,30 @@ def test_boosting_finds_the_informative_feature(spark):
     fitted, best = model.select_and_refit(df, ["x-1@V", "b", "c"], "y", 1, model.Boosting(trees=5, rate=0.3))
     assert best == ["x-1@V"]
     assert {r.currency: r.R2 > 0.5 for r in model.evaluate(fitted, df, best, "y", "currency").collect()} == {"ALL": True, "z": True}
+
+
+def long_rows(spark):
+    rows = [(s, v, 500, t, 10.0 * i + t + k, 0.1 * i + k, 0.2 * i + k, 0.3 * i + k, 2.0) for i, s in enumerate(("A", "BTC", "ETH")) for k, v in enumerate(("U", "V")) for t in (1, 2)]
+    return spark.createDataFrame(rows, "symbol string, exchange string, window_ms long, sampled_time long, asset_return double, flow_imbalance double, slippage_imbalance double, share_of_long_trades double, powerlaw_alpha double")
+
+
+def test_panel_values_corrected_and_compat(spark):
+    ids = spark.createDataFrame([("A", 1), ("BTC", 2), ("ETH", 3)], "symbol string, currency_index long")
+    build = lambda compat: {(r.symbol, r.sampled_time): r.asDict() for r in panel.build_panel(long_rows(spark), {"BTC": "BTC", "ETH": "ETH"}, (500,), ("U", "V"), "U", ids, compat=compat).collect()}
+    right, old = build(False), build(True)
+    assert len(right) == len(old) == 6 and set(right["A", 1]) == set(old["A", 1])
+    a, b = right["A", 1], old["A", 1]
+    assert a["SELF-slippage_imbalance-500MS@V"] == 1.0 and b["SELF-slippage_imbalance-500MS@V"] == 0.1 * 2 + 1
+    assert a["SELF-share_of_long_trades-500MS@U"] == 0.0 and b["SELF-share_of_long_trades-500MS@U"] == 0.3 * 2
+    assert a["SELF-exchange_diff-500MS@U-V"] == -1.0 and a["ETH-asset_return-500MS@U"] == b["ETH-asset_return-500MS@U"] == 21.0 and a["currency_index"] == 1
+
+
+def test_splits_overrides_and_saved_models(spark, tmp_path):
+    df = spark.range(5).withColumnRenamed("id", "t")
+    assert [r["split"] for r in panel.split_at(df, F.lit(1), F.lit(3), "t").orderBy("t").collect()] == ["train", "validation", "validation", "validation", "test"]
+    left, right = spark.createDataFrame([(1, 2, 3)], "k int, a int, b int"), spark.createDataFrame([(1, 9)], "k int, b int")
+    assert panel.override(left, right, ["k"]).first().asDict() == {"k": 1, "a": 2, "b": 9}
+    data = spark.createDataFrame([(float(i), 2.0 * i) for i in range(30)], "x double, y double")
+    fitted = model.fit(data, ["x"], "y", model.Boosting(trees=2))
+    model.save(fitted, str(tmp_path / "m"))
+    assert model.predict(model.load(str(tmp_path / "m")), data, ["x"]).count() == 30

@@ -76,3 +76,9 @@ def adjusted_return(asset_return: Column, hold_seconds: Column, window_seconds:
 def ratio_score(value: Column, deviation: Column) -> Column:
     """Mean over deviation, not demeaned."""
     return safe_div(F.avg(value), deviation)
+
+
+def compat_returns(asset_return: Column, hold_seconds: Column, window_seconds: float) -> tuple[Column, Column]:
+    """(asset_return, asset_return_adj) as older stores hold them: scaled once and twice."""
+    once = adjusted_return(asset_return, hold_seconds, window_seconds)
+    return once, adjusted_return(once, hold_seconds, window_seconds)

@@ -32,6 +32,14 @@ def fit(train: DataFrame, regressors: list[str], target: str, how: Boosting = Bo
     return Pipeline(stages=stages).fit(plain)
 
 
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def predict(model: PipelineModel, df: DataFrame, regressors: list[str]) -> DataFrame:
     raw = df.withColumns({f"_raw{i}": F.col(f"`{r}`").cast("double") for i, r in enumerate(regressors)})
     return model.transform(raw).drop("_x", *[f"_raw{i}" for i in range(len(regressors))], *[f"_in{i}" for i in range(len(regressors))])

@@ -57,13 +57,28 @@ def with_market(panel: DataFrame, long: DataFrame, markets: dict[str, str], wind
     return out
 
 
-def build_panel(long: DataFrame, markets: dict[str, str], windows_ms: tuple[int, ...], venues: tuple[str, ...], target_venue: str, ids: DataFrame, allow: FeatureFilter | None = None) -> DataFrame:
-    """SELF, market and difference columns with the categorical currency_index of ids (symbol, currency_index)."""
+def build_panel(
+    long: DataFrame, markets: dict[str, str], windows_ms: tuple[int, ...], venues: tuple[str, ...], target_venue: str, ids: DataFrame, allow: FeatureFilter | None = None, compat: bool = False
+) -> DataFrame:
+    """SELF, market and difference columns with the categorical currency_index of ids (symbol, currency_index).
+
+    compat repeats what older panels hold: slippage columns have the flow imbalance, and the SELF columns that market instruments lack have the last market's values.
+    """
     allow = allow or FeatureFilter.all()
-    own = widen(long, ["symbol", "sampled_time"], panel_columns("SELF", STATISTICS, windows_ms, venues, target_venue, allow))
+    if compat:
+        long = long.withColumn("slippage_imbalance", F.col("flow_imbalance"))
+    columns = panel_columns("SELF", STATISTICS, windows_ms, venues, target_venue, allow)
+    alone = [c for c in columns if not dict((s, m) for s, _, m in STATISTICS)[c[1]]] if compat else []
+    own = widen(long, ["symbol", "sampled_time"], [c for c in columns if c not in alone])
     others = tuple(v for v in venues if v != target_venue)
     differences = exchange_differences(long, target_venue, others, windows_ms, allow=allow)
-    wide = with_market(own.join(differences, ["symbol", "sampled_time"]), long, markets, windows_ms, venues, target_venue, allow)
+    if compat:
+        last = [*markets.values()][-1]
+        differences = differences.where(F.col("symbol") == last).drop("symbol").join(widen(long.where(F.col("symbol") == last), ["sampled_time"], alone), "sampled_time")
+        wide = own.join(differences, "sampled_time", "left")
+    else:
+        wide = own.join(differences, ["symbol", "sampled_time"])
+    wide = with_market(wide, long, markets, windows_ms, venues, target_venue, allow)
     return wide.join(ids.select("symbol", F.col("currency_index").cast("int").alias("currency_index")), "symbol")
 
 
@@ -99,6 +114,17 @@ def chronological_split(df: DataFrame, train: float, validation: float = 0.0, te
     return df.withColumn("split", F.when(k < cut(train), "train").when(k < cut(train + validation), "validation").otherwise("test"))
 
 
+def split_at(df: DataFrame, first: Column, second: Column, moment: str) -> DataFrame:
+    """Adds split by two times: train before the first, validation from it to the second, both included, test after."""
+    t = F.col(moment)
+    return df.withColumn("split", F.when(t < first, "train").when(t <= second, "validation").otherwise("test"))
+
+
+def override(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Columns of both by keys; of columns that both have, the right's."""
+    return left.drop(*[c for c in right.columns if c not in keys]).join(right, keys, "left")
+
+
 def metrics(df: DataFrame, by: str = "currency", truth: str = "truth", prediction: str = "prediction") -> DataFrame:
     """R2, MAE, F1 and Accuracy of each group and of ALL, in one pass. Signs are compared by being above 0; without positives F1 is 0."""
     t, p = F.col("_t"), F.col("_p")

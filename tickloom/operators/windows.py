@@ -47,15 +47,22 @@ def tumbling(trades: DataFrame, step_us: int) -> DataFrame:
     return finalize(bucketed(trades, step_us), "p", step_us, step_us)
 
 
-def finalize(df: DataFrame, column: str, step_us: int, window_us: int, names: tuple[str, ...] = OUTPUTS) -> DataFrame:
-    """Features of a partial, with the label as sampled_time and the return scaled by hold time."""
+def finalize(df: DataFrame, column: str, step_us: int, window_us: int, names: tuple[str, ...] = OUTPUTS, compat: bool = False) -> DataFrame:
+    """Features of a partial, with the label as sampled_time and the return scaled by hold time; compat gives the returns as older stores hold them."""
     p = F.col(column)
     out = df.select(*KEYS, "b", from_micros(F.col("b") * step_us).alias("sampled_time"), *[ft.FEATURES[n](p).alias(n) for n in names])
     if {"asset_return", "asset_hold_time"} <= set(names):
-        out = out.withColumn("asset_return_adj", ft.adjusted_return(F.col("asset_return"), F.col("asset_hold_time"), window_us / 1e6))
+        plain, hold = F.col("asset_return"), F.col("asset_hold_time")
+        first, second = ft.compat_returns(plain, hold, window_us / 1e6) if compat else (plain, ft.adjusted_return(plain, hold, window_us / 1e6))
+        out = out.withColumns({"asset_return": first, "asset_return_adj": second})
     return out
 
 
+def with_edges(df: DataFrame, window_us: int) -> DataFrame:
+    """Adds window_start (not in the window) and window_end (in it) to rows with a sampled_time."""
+    return df.withColumn("window_end", F.col("sampled_time")).withColumn("window_start", F.col("sampled_time") - F.expr(f"make_dt_interval(0, 0, 0, {window_us / 1e6!r})"))
+
+
 def rungs(lengths: list[int]) -> list[tuple[int, list[tuple[int, int]]]]:
     """For each length in steps, and doublings on the way, the (shorter length, steps back) that add up to it."""
     built, out = [1], []
