@@ -14,6 +14,14 @@ CHUNK_ROWS = 2000
 CHUNK_BYTES = 8 << 20
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Keeps what Spark hands a Python worker at once to about a chunk; a smaller setting of the session stands."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= CHUNK_ROWS:
+        spark.conf.set(name, str(CHUNK_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table, read by Spark's own reader so any store it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,6 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that most operators need, as (doc_id bigint, text string); other columns can't clash."""
+    limit_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
@@ -62,6 +71,7 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
 
 def mapped(df: DataFrame, chunk: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
     """Applies chunk to slices of df's partitions."""
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in chunks(batches, text):
