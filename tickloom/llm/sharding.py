@@ -101,8 +101,8 @@ def _split_level(rows: DataFrame, leaves: dict[int, int], n_dims: int, tolerance
             inner[n] = targets[n] - before
     if inner:
         same = keyed.join(F.broadcast(literal_table(rows.sparkSession, [(n, found[n][0]) for n in inner], "node, at")), "node").where("key = at")
-        for n, (tie, _, _) in _weighted_cut(same.select("node", "size", F.col("tie").alias("key")), inner, _TIE_BITS).items():
-            ties[n] = tie
+        for n, (tie, before, at) in _weighted_cut(same.select("node", "size", F.col("tie").alias("key")), inner, _TIE_BITS).items():
+            ties[n] = tie if inner[n] - before >= at / 2 else tie - 1
     return [(n, plan[n], found[n][0], ties[n]) for n in found]
 
 
