@@ -93,16 +93,24 @@ class FMIndex:
         return out
 
 
-def earlier_spans(index: FMIndex, query: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matching statistics, thresholded: maximal stretches of the query, of at least `least` symbols, that occur earlier in the text.
+def earlier_spans(index: FMIndex, query: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: np.ndarray, wanted: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matching statistics, thresholded: stretches of the query, of at least `least` symbols, that occur earlier in the text.
 
     query: symbols, 0 where the text has none such. starts, ends: the stretches to search, all at once. limit: for each query
-    position, the text position before which an occurrence of what starts there counts as earlier. Every window of `least` symbols with
-    an earlier occurrence lies in a reported span, and every reported span occurs earlier as a whole.
+    position, the text position before which an occurrence of what starts there counts as earlier. wanted: by its last symbol's place, whether a window
+    of `least` symbols is asked for. Every wanted window with an earlier occurrence lies in a reported span, and every reported span occurs earlier as a whole.
+
+    A search runs from a window's end to the left as far as it goes. Where it misses, the pair of the missed symbol and its right neighbour is
+    probed: if that has no earlier occurrence either, no window with both has, and the search goes on left of it.
     """
+    places = np.arange(len(query))
+    before = np.maximum.accumulate(np.where(wanted, places, -1))  # the last wanted window's end up to each place
     lane = np.flatnonzero(ends - starts >= least)
-    left, right = starts[lane], ends[lane] - 1
-    at, low, high = right.copy(), np.zeros(len(lane), np.int64), np.full(len(lane), index.n, np.int64)
+    left, right = starts[lane], before[ends[lane] - 1]
+    alive = right - left + 1 >= least
+    left, right = left[alive], right[alive]
+    at, probe = right.copy(), np.full(len(right), -1, np.int64)  # probe: where to go on if the pair does occur; -1 outside a probe
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), index.n, np.int64)
     found_start, found_end = [], []
     while len(at):
         symbol = query[at]
@@ -110,21 +118,29 @@ def earlier_spans(index: FMIndex, query: np.ndarray, starts: np.ndarray, ends: n
         fits = (symbol > 0) & (new_high > new_low)
         some = np.flatnonzero(fits)
         fits[some] = index.earliest(new_low[some], new_high[some]) < limit[at[some]]
-        low, high = np.where(fits, new_low, 0), np.where(fits, new_high, index.n)
+        probing = probe >= 0
         length = right - at + fits
-        edge = at - fits < left
-        ended = ~fits | edge
-        report = ended & (length >= least)
+        edge = fits & (at == left)
+        done_probe = probing & (~fits | (length == 2))
+        missed = ~probing & ~fits
+        report = (missed | (edge & ~probing)) & (length >= least)
         if report.any():
             found_start.append((at + ~fits)[report])
             found_end.append((right + 1)[report])
-        # After a miss: the next window to the left that the miss doesn't rule out.
-        skip = np.where(symbol == 0, at - 1, np.where(length >= least, at + least - 1, right - 1))
-        right = np.where(fits, right, skip)
-        at = np.where(fits, at - 1, skip)
-        alive = np.where(fits, ~edge, right - left + 1 >= least)
+        ask = missed & (length >= 2)
+        # Where a search begins anew: at the pair to probe, at the next window that may occur, or left of a pair that doesn't.
+        again = np.where(length >= least, at + least - 1, right - 1)
+        target = np.where(ask, at + 1, np.where(done_probe, np.where(fits, probe, right - 1), np.where(symbol == 0, at - 1, right - 1)))
+        probe = np.where(ask, again, np.where(done_probe, -1, probe))
+        restart = missed | done_probe
+        jump = restart & ~ask
+        target[jump] = np.where(target[jump] >= 0, before[target[jump]], -1)
+        right = np.where(restart, target, right)
+        low, high = np.where(restart, 0, new_low), np.where(restart, index.n, new_high)
+        alive = np.where(jump, right - left + 1 >= least, ~(edge & ~probing))
+        at = np.where(restart, target, at - 1)
         if not alive.all():
-            left, right, at, low, high = left[alive], right[alive], at[alive], low[alive], high[alive]
+            left, right, at, low, high, probe = left[alive], right[alive], at[alive], low[alive], high[alive], probe[alive]
     if not found_start:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(found_start), np.concatenate(found_end)

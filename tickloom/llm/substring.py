@@ -8,15 +8,17 @@ matching every document with every shard would be quadratic. So work is dealt by
 2. An anchor's home is the first document that has it, and homes are dealt to shards. Around its anchors, each document sends
    stretches of words to the shards of their homes; a long shared passage has one home and stays one stretch.
 3. Each shard builds an FM-index of its home documents' stretches and streams all stretches through it. Matching statistics
-   above the threshold, with an occurrence that starts earlier, are removals. A shard with many stretches is salted: its index is built in
-   several tasks, each with a part of the stretches.
+   above the threshold, with an occurrence that starts earlier, are removals. A shard with more than twice its share of anchors is salted: its index is
+   built in several tasks, each with a part of the stretches.
 4. A window whose anchor occurs at home in other surroundings only is still open: its first occurrence is in neither. Open windows, which
    are few and lie at the edges of passages, meet by a 128-bit hash with map-side aggregation; all but those of the first document go.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from itertools import chain, count, repeat
 
 import numpy as np
 import pandas as pd
@@ -33,21 +35,44 @@ WINDOW = 20
 ANCHOR = 6
 #: Anchors whose stretches one task indexes and searches.
 ANCHORS_PER_TASK = 60_000
-_PIECE = 192
-_HASHES = 300_000
+_PIECE = 48
+#: A shard with fewer anchors than this isn't salted.
+_LEAST_SALTED = 2000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > _HASHES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+_BLOCK_WORDS = 1 << 17
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+#: Multipliers of a multilinear hash, by the byte's place in its word modulo 64.
+_PLACES = np.random.default_rng(20).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
-def word_hashes(words: list[bytes], known: _WordHashes) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class Words:
+    """The words of some texts: where they start and end in the joined bytes, each text's range of words, and a hash of each word."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.data = b"\n" + b"\n".join(texts) + b"\n"
+        raw = np.frombuffer(self.data, np.uint8)
+        edge = np.diff(_SPACE[raw].view(np.int8))
+        self.starts, self.ends = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
+        places = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        self.bounds = np.searchsorted(self.starts, places)
+        parts = [self._hash(raw, a, min(a + _BLOCK_WORDS, len(self.starts))) for a in range(0, len(self.starts), _BLOCK_WORDS)]
+        self.hashes = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+    def _hash(self, raw: np.ndarray, a: int, b: int) -> np.ndarray:
+        piece = raw[self.starts[a] : self.ends[b - 1]]
+        lengths = self.ends[a:b] - self.starts[a:b]
+        first = np.cumsum(lengths) - lengths
+        letters = piece[~_SPACE[piece]].astype(np.uint64)
+        place = np.arange(len(letters)) - np.repeat(first, lengths)
+        letters += (place >> 6).astype(np.uint64) * np.uint64(257) + np.uint64(1)
+        return _mixed(np.add.reduceat(letters * _PLACES[place & 63], first) + lengths.astype(np.uint64))
+
+    def text(self, a: int, b: int) -> bytes:
+        """Words a to b - 1 with what stands between them."""
+        return self.data[self.starts[a] : self.ends[b - 1]]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -76,15 +101,21 @@ def _sliding(values: np.ndarray, size: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
-def anchors(hashes: np.ndarray, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the `size`-word grams, the places of those that are the least of some window, and each window's least hash."""
-    grams, reach = rolling(hashes, size), window - size + 1
-    if len(grams) < reach:
+def anchors(words: Words, window: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all `size`-word grams, the places of those that are the least of some window of a text, and the least of each window (0 where a window isn't within one text)."""
+    grams, reach = rolling(words.hashes, size), window - size + 1
+    n = len(words.hashes) - window + 1
+    if n <= 0:
         return grams, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    least = _sliding(grams, reach, np.minimum)
+    first, last = words.bounds[:-1], words.bounds[1:]
+    long = last - first >= window
+    within = np.zeros(n + 1, np.int32)
+    np.add.at(within, first[long], 1)
+    np.add.at(within, last[long] - window + 1, -1)
+    least = np.where(np.cumsum(within)[:n] > 0, _sliding(grams, reach, np.minimum), np.uint64(0))
     padded = np.concatenate((np.zeros(reach - 1, np.uint64), least, np.zeros(reach - 1, np.uint64)))
     best = _sliding(padded, reach, np.maximum)  # of the windows that cover each gram
-    return grams, np.flatnonzero(best == grams), least
+    return grams, np.flatnonzero((best == grams) & (best > 0)), least
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -96,16 +127,11 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _all_anchors(keyed: DataFrame, window: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in chunks(batches):
-            ids, fps, places, counts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), [], []
-            hashes = []
-            for text in byte_texts(batch):
-                grams, at, _ = anchors(word_hashes(text.split(), known), window, size)
-                hashes.append(grams[at])
-                places.append(at)
-                counts.append(len(at))
-            columns = (np.concatenate(hashes).view(np.int64), np.repeat(ids, counts), np.repeat(fps, counts), np.concatenate(places).astype(np.int32))
+            words = Words(byte_texts(batch))
+            grams, at, _ = anchors(words, window, size)
+            of = np.searchsorted(words.bounds, at, side="right") - 1
+            columns = (grams[at].view(np.int64), batch.column(0).to_numpy()[of], batch.column(1).to_numpy()[of], (at - words.bounds[of]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "id", "fp", "p"])
 
     return keyed.mapInArrow(run, "h bigint, id bigint, fp bigint, p int")
@@ -122,54 +148,59 @@ def _compressed(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "id bigint, fp bigint, z binary")
 
 
-_SEGMENT = "shard bigint, salt int, id bigint, fp bigint, start int, home boolean, body binary, open binary"
+_SEGMENT = "shard bigint, salt int, id bigint, fp bigint, start int, home boolean, body binary, asked binary, open binary"
 
 
 def _segments(texts: DataFrame, window: int, size: int) -> DataFrame:
     """Stretches of words around repeated anchors. texts: (id, fp, z, marks array<struct<p,first,shard,salts>>).
 
-    `open` has a bit for each window of the stretch that is to be settled in this shard but has its home elsewhere.
+    `asked` has a bit for each window of the stretch that this shard is to settle, `open` for those of them whose anchor's home is another document.
     """
     reach = window - size + 1
-
-    def rows(ident: int, fp: int, words: list[bytes], marks: list[dict], known: _WordHashes) -> Iterator[tuple]:
-        grams, _, least = anchors(word_hashes(words, known), window, size)
-        by_shard: dict[int, list[dict]] = {}
-        for m in sorted(marks, key=lambda m: m["p"]):
-            by_shard.setdefault(m["shard"], []).append(m)
-        for shard, own in by_shard.items():
-            runs: list[list] = []
-            for m in own:
-                a, b = max(0, m["p"] - reach + 1), min(len(words), m["p"] + window)
-                if runs and a <= runs[-1][1]:
-                    runs[-1][1] = b
-                    runs[-1][2].append(m)
-                else:
-                    runs.append([a, b, [m]])
-            for a, b, held in runs:
-                flags = np.zeros(b - a - window + 1, bool)
-                for m in held:
-                    if m["first"] != ident:
-                        x, y = max(a, m["p"] - reach + 1), min(m["p"], b - window) + 1
-                        flags[x - a : y - a] |= least[x:y] == grams[m["p"]]
-                home, salts = any(m["first"] == ident for m in held), held[0]["salts"]
-                body, packed = b" ".join(words[a:b]), np.packbits(flags).tobytes()
-                mine = ident % salts
-                yield shard, mine, ident, fp, a, home, body, packed
-                if home:
-                    # Elsewhere it is indexed only.
-                    yield from ((shard, s, ident, fp, a, True, body, None) for s in range(salts) if s != mine)
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    names = [x.split()[0] for x in _SEGMENT.split(", ")]
+
+    def rows(batch: pa.RecordBatch, texts: list[bytes]) -> Iterator[tuple]:
+        words = Words(texts)
+        grams, _, least = anchors(words, window, size)
+        ids, fps, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
+        of = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        p, first, shard, salts = (x.to_numpy() for x in lists.flatten().flatten())
+        place = words.bounds[of] + p
+        # The shard that settles each window, and whether the home of its anchor is another document.
+        settler, away = np.full(len(least), -1, np.int64), np.zeros(len(least), bool)
+        elsewhere = first != ids[of]
+        for back in range(reach):
+            w = place - back
+            ok = (w >= 0) & (w < len(least))
+            ok[ok] = least[w[ok]] == grams[place[ok]]
+            settler[w[ok]] = shard[ok]
+            away[w[ok & elsewhere]] = True
+        order = np.lexsort((p, shard, of))
+        of, p, place, shard, salts, home = of[order], p[order], place[order], shard[order], salts[order], (first == ids[of])[order]
+        fresh = np.concatenate(([True], (np.diff(of) != 0) | (np.diff(shard) != 0) | (np.diff(p) > reach - 1 + window)))
+        begin = np.flatnonzero(fresh)
+        stop = np.append(begin[1:], len(of)) - 1
+        homes = np.logical_or.reduceat(home, begin)
+        for x, y, at_home in zip(begin.tolist(), stop.tolist(), homes.tolist(), strict=True):
+            d, s, k = int(of[x]), int(shard[x]), int(salts[x])
+            low, high = int(words.bounds[d]), int(words.bounds[d + 1])
+            a, b = max(low, int(place[x]) - reach + 1), min(high, int(place[y]) + window)
+            ident, fp = int(ids[d]), int(fps[d])
+            mine, asked = ident % k, settler[a : b - window + 1] == s
+            body = words.text(a, b)
+            yield s, mine, ident, fp, a - low, at_home, body, np.packbits(asked).tobytes(), np.packbits(asked & away[a : b - window + 1]).tobytes()
+            if at_home:
+                # Elsewhere it is indexed only.
+                yield from ((s, other, ident, fp, a - low, True, body, None, None) for other in range(k) if other != mine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unpack = _WordHashes(), zstandard.ZstdDecompressor()
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
-        names = [x.split()[0] for x in _SEGMENT.split(", ")]
+        unpack = zstandard.ZstdDecompressor()
         for batch in chunks(batches, "z"):
-            out = []
-            for ident, fp, z, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out += rows(ident, fp, unpack.decompress(z).split(), marks, known)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+            texts = [unpack.decompress(z) for z in batch.column(2).to_pylist()]
+            out = list(rows(batch, texts))
+            for a in range(0, len(out), 4096):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[a : a + 4096], strict=True), types, strict=True)], names)
 
     return texts.mapInArrow(run, _SEGMENT)
 
@@ -177,73 +208,74 @@ def _segments(texts: DataFrame, window: int, size: int) -> DataFrame:
 _FOUND = "id bigint, fp bigint, a int, b int, open boolean, w1 bigint, w2 bigint"
 
 
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+
+
 def search_shard(rows: pd.DataFrame, window: int) -> pd.DataFrame:
     """Settles one shard: removals, and windows that stay open with their 128-bit hashes."""
-    rows = rows.drop_duplicates(["id", "fp", "start"]).sort_values(["id", "fp", "start"], kind="stable").reset_index(drop=True)
-    number: dict[bytes, int] = {}
-    homes = np.flatnonzero(rows["home"].to_numpy(bool))
-    coded = {int(k): [number.setdefault(w, len(number) + 1) for w in rows["body"].iat[k].split(b" ")] for k in homes}
-    text, offset = [], np.zeros(len(homes) + 1, np.int64)
-    for j, k in enumerate(homes):
-        text += [*coded[int(k)], 0]
-        offset[j + 1] = len(text)
-    index = FMIndex(np.array(text, np.int64), len(number) + 1) if len(homes) else None
-    known = _WordHashes()
+    rows = rows.drop_duplicates(["id", "fp", "start"]).sort_values(["id", "fp", "start"], kind="stable")
+    bodies, opens, home = rows["body"].tolist(), rows["open"].tolist(), rows["home"].to_numpy(bool)
+    ids, fps = rows["id"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64)
+    split = [body.split() for body in bodies]
     first_of: dict[bytes, int] = {}
-    removed, opened = [], []
-    query, limits, starts, ends, owner, base = [], [], [], [], [], []
-    size = 0
-    for k in range(len(rows)):
-        if rows["open"].iat[k] is None:
+    asked, removed = [], []
+    for k, body in enumerate(bodies):
+        if opens[k] is None:
             continue
-        body = rows["body"].iat[k]
-        if first_of.setdefault(body, k) != k:
-            # The same stretch as an earlier one: every window of it starts earlier there.
-            removed.append((k, 0, body.count(b" ") + 1))
-            continue
-        codes = np.array(coded.get(k) or [number.get(w, 0) for w in body.split(b" ")], np.int64)
-        j = int(np.searchsorted(homes, k))
-        own = j < len(homes) and homes[j] == k
-        query.append(codes)
-        limits.append(offset[j] + (np.arange(len(codes)) if own else np.zeros(len(codes), np.int64)))
-        cuts = np.arange(0, max(len(codes) - window + 1, 1), _PIECE)
-        starts.append(size + cuts)
-        ends.append(size + np.minimum(cuts + _PIECE + window - 1, len(codes)))
-        owner.append(k)
-        base.append(size)
-        size += len(codes)
-    if query:
-        joined, limit = np.concatenate(query), np.concatenate(limits)
-        bounds = np.append(base, size)
-        if index is not None:
-            a, b = earlier_spans(index, joined, np.concatenate(starts), np.concatenate(ends), limit, window)
+        if first_of.setdefault(body, k) == k:
+            asked.append(k)
         else:
-            a = b = np.zeros(0, np.int64)
-        settled = np.zeros(size + 1, np.int64)  # windows that start here are settled
-        np.add.at(settled, a, 1)
-        np.add.at(settled, b - window + 1, -1)
-        settled = np.cumsum(settled)[:size] > 0
-        lane = np.searchsorted(bounds, a, side="right") - 1
-        removed += [(owner[q], int(x - bounds[q]), int(y - bounds[q])) for q, x, y in zip(lane.tolist(), a.tolist(), b.tolist(), strict=True)]
-        met: set[tuple[int, int, int, int]] = set()
-        for q, k in enumerate(owner):
-            n = int(bounds[q + 1] - bounds[q]) - window + 1
-            wanted = np.unpackbits(np.frombuffer(rows["open"].iat[k], np.uint8), count=n).astype(bool) & ~settled[bounds[q] : bounds[q] + n]
-            if wanted.any():
-                hashes = word_hashes(rows["body"].iat[k].split(b" "), known)
-                w1, w2 = (rolling(hashes, window, s).view(np.int64) for s in (1, 2))
-                ident, fp = int(rows["id"].iat[k]), int(rows["fp"].iat[k])
-                for s in np.flatnonzero(wanted).tolist():
-                    name = (ident, fp, int(w1[s]), int(w2[s]))
-                    if name in met:
-                        removed.append((k, s, s + window))
-                    else:
-                        met.add(name)
-                        opened.append((k, s, s + window, name[2], name[3]))
+            # The same stretch as an earlier one: every window of it starts earlier there.
+            removed.append((k, 0, len(split[k])))
+    homes = np.flatnonzero(home).tolist()
+    number = dict(zip(dict.fromkeys(chain.from_iterable(split[k] for k in homes)), count(1)))
+    get = number.get
+    coded = {k: np.fromiter(map(get, split[k], repeat(0)), np.int64, len(split[k])) for k in {*homes, *asked}}
+    offset = np.concatenate(([0], np.cumsum([len(coded[k]) + 1 for k in homes]))).astype(np.int64)
+    opened: list[tuple] = []
+    if asked:
+        base = np.concatenate(([0], np.cumsum([len(coded[k]) for k in asked]))).astype(np.int64)
+        query = np.concatenate([coded[k] for k in asked])
+        settled = np.zeros(len(query) + 1, np.int64)  # windows that start here are settled
+        if homes:
+            gap = np.zeros(1, np.int64)
+            index = FMIndex(np.concatenate([x for k in homes for x in (coded[k], gap)]), len(number) + 1)
+            rank = np.searchsorted(homes, asked)
+            limit = np.concatenate([offset[j] + (np.arange(len(coded[k])) if home[k] else np.zeros(len(coded[k]), np.int64)) for j, k in zip(rank.tolist(), asked, strict=True)])
+            cuts = [np.arange(0, len(coded[k]) - window + 1, _PIECE) for k in asked]
+            starts = np.concatenate([base[q] + c for q, c in enumerate(cuts)])
+            ends = np.minimum(starts + _PIECE + window - 1, np.repeat(base[1:], [len(c) for c in cuts]))
+            wanted = np.zeros(len(query), bool)
+            for q, k in enumerate(asked):
+                wanted[base[q] + window - 1 : base[q + 1]] = _bits(rows["asked"].iat[k], len(coded[k]) - window + 1)
+            a, b = earlier_spans(index, query, starts, ends, limit, wanted, window)
+            np.add.at(settled, a, 1)
+            np.add.at(settled, b - window + 1, -1)
+            q = np.searchsorted(base, a, side="right") - 1
+            removed += zip(np.array(asked)[q].tolist(), (a - base[q]).tolist(), (b - base[q]).tolist(), strict=True)
+        settled = np.cumsum(settled)[:-1] > 0
+        met: set[tuple[int, int, bytes]] = set()
+        for q, k in enumerate(asked):
+            n = len(coded[k]) - window + 1
+            for s in np.flatnonzero(_bits(opens[k], n) & ~settled[base[q] : base[q] + n]).tolist():
+                name = xxhash.xxh3_128_digest(b" ".join(split[k][s : s + window]))
+                key = (int(ids[k]), int(fps[k]), name)
+                if key in met:
+                    removed.append((k, s, s + window))
+                else:
+                    met.add(key)
+                    opened.append((k, s, s + window, *struct.unpack("<qq", name)))
     done = np.array([(*x, 0, 0, 0) for x in removed] + [(k, a, b, 1, w1, w2) for k, a, b, w1, w2 in opened], np.int64).reshape(-1, 6).T
     start = rows["start"].to_numpy(np.int64)[done[0]]
-    out = {"id": rows["id"].to_numpy()[done[0]], "fp": rows["fp"].to_numpy()[done[0]], "a": done[1] + start, "b": done[2] + start, "open": done[3].astype(bool), "w1": done[4], "w2": done[5]}
-    return pd.DataFrame(out)
+    return pd.DataFrame({"id": ids[done[0]], "fp": fps[done[0]], "a": done[1] + start, "b": done[2] + start, "open": done[3].astype(bool), "w1": done[4], "w2": done[5]})
+
+
+def _searcher(window: int):
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        return search_shard(rows, window)
+
+    return search
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, anchors_per_task: int = ANCHORS_PER_TASK) -> tuple[DataFrame, DataFrame]:
@@ -255,7 +287,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     load = repeated.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-load // anchors_per_task))
     repeated = repeated.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)))
-    salts = repeated.groupBy("shard").agg(F.ceil(F.sum("n") / anchors_per_task / 2).cast("int").alias("salts"))
+    fair = max(2 * load / shards, min(_LEAST_SALTED, anchors_per_task))
+    salts = repeated.groupBy("shard").agg(F.ceil(F.sum("n") / fair).cast("int").alias("salts"))
     marked = found.join(repeated.join(salts, "shard").select("h", "first", "shard", "salts"), "h")
     marks = marked.groupBy("id", "fp").agg(F.collect_list(F.struct("p", "first", "shard", "salts")).alias("marks"))
     segments = _segments(_compressed(keyed).join(marks, ["id", "fp"]), window, anchor)
@@ -266,13 +299,6 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return keyed, settled.where("not open").select("id", "fp", "a", "b").unionByName(late.select("id", "fp", "a", "b"))
 
 
-def _searcher(window: int):
-    def search(rows: pd.DataFrame) -> pd.DataFrame:
-        return search_shard(rows, window)
-
-    return search
-
-
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, anchors_per_task: int = ANCHORS_PER_TASK) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) for each row of docs; kept has the words that stay, joined by single spaces.
 
