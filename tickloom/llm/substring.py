@@ -187,7 +187,7 @@ def _segments(texts: DataFrame, window: int, size: int) -> DataFrame:
             low, high = int(words.bounds[d]), int(words.bounds[d + 1])
             a, b = max(low, int(place[x]) - reach + 1), min(high, int(place[y]) + window)
             ident, fp = int(ids[d]), int(fps[d])
-            mine, asked = ident % k, settler[a : b - window + 1] == s
+            mine, asked = (ident * 2654435761 >> 9) % k, settler[a : b - window + 1] == s
             body = words.text(a, b)
             yield s, mine, ident, fp, a - low, at_home, body, np.packbits(asked).tobytes(), np.packbits(asked & away[a : b - window + 1]).tobytes()
             if at_home:
