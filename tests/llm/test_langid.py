@@ -42,3 +42,29 @@ def test_no_letters_and_small_inputs(spark):
     kept = l.keep_identified(docs, one)
     assert kept.columns == docs.columns and kept.count() == 2
     assert l.predict(docs.limit(0), one).count() == 0
+
+
+FOREIGN = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "人人生而自由,在尊严和权利上一律平等。他们赋有理性和良心,并应以兄弟关系的精神相对待。",
+    "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+    "aGVsbG8gd29ybGQgdGhpcyBpcyBhIGxvbmcgc3RyaW5n ZGVmIG1haW4oKToKICAgIHByaW50KCdoZWxsbyB3b3JsZCcp",
+]
+
+
+def test_stage_drops_languages_that_no_label_names(spark, sf):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").select("doc_id", "text", "lang")
+    foreign = spark.createDataFrame([(-k, t, None) for k, t in enumerate(FOREIGN, 1)], "doc_id long, text string, lang string")
+    model = l.fit(docs)
+    kept = [r.doc_id for r in l.keep_identified(docs.unionByName(foreign), model).select("doc_id").collect()]
+    assert min(kept) >= 0 and len(kept) == docs.count()
+    assert all(r.ambiguous and r.score < l.KEPT_SCORE for r in l.predict(foreign, model).collect())
+    for gone in ("de", "en"):
+        model = l.fit(docs.where(f"lang <> '{gone}'"))
+        rows = l.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
+        foreign_low = [r.score < l.KEPT_SCORE for r in rows if r.lang == gone]
+        other_low = [r.score < l.KEPT_SCORE for r in rows if r.lang != gone]
+        assert sum(foreign_low) >= 0.95 * len(foreign_low) and sum(other_low) <= 0.01 * len(other_low)

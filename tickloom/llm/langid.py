@@ -4,6 +4,10 @@ Each language has a binary codeword. For every bit a linear classifier over hash
 from the others. A text's margins are decoded to the codeword of least loss, bits weighted by how reliable their
 classifiers proved; a close second marks the answer as ambiguous.
 
+The share of the best language says nothing about texts in none of them, so the text's n-grams have to be likelier in that language than in
+an even spread over all buckets, by LEAST_LEAD of what the language's own texts are on average. A text that falls short by over
+NONE_MARGIN nats loses score with what it lacks further.
+
 The classifiers are fitted on a bounded sample: at most about `sample_rows` labelled documents, the same number for each
 language where there are as many, picked by a hash of the id. Predictions use the text alone.
 """
@@ -33,6 +37,9 @@ UNKNOWN = "und"
 LEAST_SCORE = 0.55
 #: A text whose best language scores less than this is in none of them.
 KEPT_SCORE = 0.4
+#: Share of a language's mean evidence for each n-gram that a text in it has to show, and the nats that it may lack in all.
+LEAST_LEAD = 0.25
+NONE_MARGIN = 5.0
 _BLOCK = 1 << 18
 
 #: ASCII letters and all non-ASCII bytes stay; the rest becomes space.
@@ -78,6 +85,7 @@ class Model:
     code: np.ndarray
     weights: np.ndarray  # buckets x bits
     trust: np.ndarray  # weight of each bit's loss
+    lead: np.ndarray | None = None  # languages x buckets: ln of a bucket's share over an even share, less what a text has to show
 
     def margins(self, codes: np.ndarray) -> np.ndarray:
         """Evidence for each bit; overlapping orders count once."""
@@ -95,6 +103,14 @@ class Model:
         second = float(share[order[1]]) if len(share) > 1 else 0.0
         return self.languages[order[0]], best, best < LEAST_SCORE or 3 * second > best
 
+    def judge(self, codes: np.ndarray) -> tuple[str, float, bool]:
+        """The decoded answer, its score reduced where the text is like none of the languages."""
+        language, score, doubt = self.decode(self.margins(codes))
+        if self.lead is not None:
+            evidence = float(self.lead[self.languages.index(language)][codes].sum(dtype=np.float64)) / len(ORDERS)
+            score *= float(np.exp(min(0.0, evidence + NONE_MARGIN)))
+        return language, score, doubt or score < LEAST_SCORE
+
 
 def _sample(labelled: DataFrame, sample_rows: int) -> tuple[DataFrame, list[str]]:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -132,7 +148,9 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     weights = np.zeros((buckets, code.shape[1]), np.float32)
     for k, bit in enumerate(code.T):
         weights[:, k] = np.log(share[bit == 1].mean(0)) - np.log(share[bit == -1].mean(0))
-    model = Model(languages, code, weights, np.ones(code.shape[1]))
+    lead = np.log(share * buckets)
+    lead -= LEAST_LEAD * (share * lead).sum(1, keepdims=True)
+    model = Model(languages, code, weights, np.ones(code.shape[1]), lead.astype(np.float32))
     if not code.shape[1]:
         return model
     shared = labelled.sparkSession.sparkContext.broadcast(model)
@@ -165,7 +183,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         m, out = shared.value, []
         lowered = pc.utf8_lower(batch.column(1)).cast(pa.binary()).to_pylist()
         for text, low in zip(batch.column(1).to_pylist(), lowered, strict=True):
-            out.append(m.decode(m.margins(grams(low))) if m.languages and has_letter(text) else (UNKNOWN, 0.0, True))
+            out.append(m.judge(grams(low)) if m.languages and has_letter(text) else (UNKNOWN, 0.0, True))
         langs, scores, doubts = zip(*out, strict=True)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(doubts)], ["doc_id", "lang_pred", "score", "ambiguous"])
 
@@ -181,7 +199,7 @@ def keep_identified(docs: DataFrame, model: Model, least_score: float = KEPT_SCO
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
         lowered = pc.utf8_lower(batch.column(at)).cast(pa.binary()).to_pylist()
-        good = [bool(m.languages) and has_letter(text) and m.decode(m.margins(grams(low)))[1] >= least_score for text, low in zip(batch.column(at).to_pylist(), lowered, strict=True)]
+        good = [bool(m.languages) and has_letter(text) and m.judge(grams(low))[1] >= least_score for text, low in zip(batch.column(at).to_pylist(), lowered, strict=True)]
         return batch.filter(pa.array(good, pa.bool_()))
 
     renamed = docs.toDF(*held)
