@@ -131,3 +131,13 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(22, None)], "doc_id long, text string")
     assert lm.score(docs.limit(0)).count() == 0
     assert lm.score(docs).first().n_tokens == 1
+
+
+def test_classes_are_the_means_of_all_training_documents(spark, sf):
+    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").selectExpr("doc_id", "text", "doc_id % 10 = 0 AS held_out")
+    centres = lm.fit_classes(docs, 4, 60)
+    points = np.array([lm.letters(lm.words_of((r.text or "").encode())) for r in docs.where("not held_out").collect()])
+    own = lm.nearest(centres, points)
+    assert len(set(own.tolist())) == 4
+    for k in range(4):
+        assert np.abs(points[own == k].mean(0) - centres[k]).max() < 1e-5

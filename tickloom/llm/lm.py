@@ -4,8 +4,8 @@ A text is a stream of words, each closed by a space, and an end. Bytes are decom
 context tree over the preceding bytes of the word (and its start) holds Krichevsky-Trofimov counts at every depth, and the weighting recursion mixes all
 depths. After training the tree is frozen: a decision's probability is the mixture along its context path.
 
-Documents fall into a few classes (of language and style) by their letters, as k-means on a bounded sample finds them; each class has a
-tree of its own, and a text's code is its class, then its words under that class's tree.
+Documents fall into a few classes (of language and style) by their letters, as k-means over all training documents finds them from
+centres that a bounded sample starts; each class has a tree of its own, and a text's code is its class, then its words under that class's tree.
 
 Contexts end at the word's start, so a word's code length depends on the word and class alone. Everything is therefore computed on the
 corpus's vocabulary, which one pass over all documents counts: first the n-grams of the trees, then scores for each distinct word. The
@@ -31,6 +31,8 @@ CLASSES = 8
 SAMPLE_ROWS = 4000
 MAX_GRAMS = 1 << 20
 COMMON_WORDS = 1 << 18
+MAX_PASSES = 25
+_UNIT = 1 << 24
 _FLUSH = 200_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
@@ -51,8 +53,43 @@ def nearest(centres: np.ndarray, points: np.ndarray) -> np.ndarray:
     return (2 * points @ centres.T - (centres**2).sum(1)).argmax(1)
 
 
+def _settle(centres: np.ndarray, trained: DataFrame) -> np.ndarray:
+    """k-means over all training texts until the centres stand, MAX_PASSES at most. A pass sends a sum and count for each class and byte."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([letters(words_of(x)).tobytes() for x in byte_texts(batch)], pa.binary())], ["letters"])
+
+    points = cut(trained.select("text").mapInArrow(read, "letters binary"))
+    for _ in range(MAX_PASSES):
+        shared = trained.sparkSession.sparkContext.broadcast(centres)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            middle = shared.value
+            sums, sizes = np.zeros(middle.shape, np.int64), np.zeros(len(middle), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, 256)
+                    own, whole = nearest(middle, found), np.rint(found.astype(np.float64) * _UNIT).astype(np.int64)
+                    for k in range(len(middle)):
+                        sums[k] += whole[own == k].sum(0)
+                    sizes += np.bincount(own, minlength=len(middle))
+            kind, byte = np.divmod(np.arange(sums.size), 256)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(byte), pa.array(sums.ravel()), pa.array(sizes[kind])], ["class", "byte", "total", "n"])
+
+        parts = points.mapInArrow(run, "class bigint, byte bigint, total bigint, n bigint")
+        moved = centres.copy()
+        for r in parts.groupBy("class", "byte").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").collect():
+            moved[r["class"], r["byte"]] = r["total"] / r["n"] / _UNIT
+        shared.unpersist()
+        if np.array_equal(moved, centres):
+            break
+        centres = moved
+    return centres
+
+
 def fit_classes(docs: DataFrame, n_classes: int, sample_rows: int) -> np.ndarray:
-    """Centres of the classes: k-means over training texts, about sample_rows of them, picked by a hash of their ids."""
+    """Centres of the classes: k-means over all training texts. About sample_rows of them, picked by a hash of their ids, give the starting centres."""
     trained = docs.where("not held_out")
     share = min(1.0, sample_rows / max(trained.count(), 1))
     picked = trained.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -73,7 +110,7 @@ def fit_classes(docs: DataFrame, n_classes: int, sample_rows: int) -> np.ndarray
     for _ in range(25):
         own = nearest(centres, points)
         centres = np.array([points[own == k].mean(0) if (own == k).any() else c for k, c in enumerate(centres)])
-    return centres
+    return _settle(centres, trained)
 
 
 def count_words(docs: DataFrame, centres: np.ndarray) -> DataFrame:
