@@ -10,7 +10,6 @@ def test_cached_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(p.default_tokenizer())
-    plain.encode_special_tokens = True
     rng = random.Random(1)
     parts = ["the", "it's", "É", "日本", " ", " ", " ", "\n", "\t", "  ", "12", "a1!", " ", " ", "<|endoftext|>", "'ll", "\x1c", "\r\n"]
     texts = ["", " ", "a ", " a", "a  b", "a   b", "a \n b", "\t \t b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
@@ -78,3 +77,43 @@ def test_pack_is_gapless_whole_and_near_the_bound(spark):
     bound = p.lower_bound(np.array([r[3] for r in rows]), 100)
     assert out["sequence_id"].nunique() <= bound + 2
     assert p.pack(items.limit(0)).count() == 0
+
+
+def test_groups_stay_bounded_where_every_group_has_a_gap(spark, monkeypatch):
+    """Lengths of a third of the capacity and more leave large gaps; groups of later rounds are no larger for it, and every row stays."""
+    rng = random.Random(2)
+    rows = [(i, 0, 0, rng.randint(410, 700), i) for i in range(12_000)]
+    inner = p.pack_group
+
+    class Most:
+        def zero(self, v):
+            return 0
+
+        def addInPlace(self, a, b):
+            return max(a, b)
+
+    sizes = spark.sparkContext.accumulator(0, Most())
+
+    def spied(x, capacity):
+        sizes.add(len(x))
+        return inner(x, capacity)
+
+    def settler(capacity, level):
+        def settle(x):
+            g = int(x["g"].iloc[0])
+            out = spied(x, capacity)
+            out["sequence_id"] = (level << 56) + (g << 24) + out["bin"]
+            return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "g", "open"]]
+
+        return settle
+
+    monkeypatch.setattr(p, "_settler", settler)
+    out = p.pack(spark.createDataFrame(rows, p.PIECES), group_rows=1000).toPandas()
+    assert sorted(out["doc_id"]) == list(range(12_000)) and sizes.value < 1300
+    assert out.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
+def test_null_ids_and_repeated_rows_are_packed_as_often_as_they_occur(spark):
+    docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, None)], "doc_id long, text string")
+    out = p.pack_documents(docs).collect()
+    assert sorted((r.doc_id is None, r.length) for r in out) == [(False, 1), (False, 1), (True, 3), (True, 3)]

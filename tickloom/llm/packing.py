@@ -2,9 +2,9 @@
 
 Documents become token pieces of at most one sequence. Full pieces are sequences of their own. The others are dealt to groups by
 hash; each group runs best-fit decreasing and compares its bins with a lower bound from dual feasible functions. What a bound
-certifies stays, but for the group's emptiest bin; a group with a gap also gives up its emptiest bins. Given-up documents
-of sixteen groups meet in one group of the next round and are packed again, until one group is left. Every group is of bounded
-size whatever the corpus, as it holds a few bins of each of sixteen groups.
+certifies stays, but for the group's emptiest bin; a group with a gap also gives up its emptiest bins, four for each bin of the gap.
+Given-up documents are dealt anew, to as many groups as their number asks for, and packed again. Rounds end when one group is left or when
+a round saves next to nothing, so no group of any round has more than about `group_rows` documents, whatever the corpus and its gaps.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from tickloom.llm.common import as_texts, cut, mapped, tasks_for
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
-#: Rows of a group in the first round, and groups that merge into one of the next.
+#: Rows of a group, in every round.
 GROUP_ROWS = 50_000
-FAN_IN = 16
+#: A round that saves a smaller share than this of the bins it was given is the last.
+LEAST_GAIN = 0.001
 #: Entries of a generation of a worker's word cache.
 CACHE_ENTRIES = 250_000
 
@@ -43,7 +44,7 @@ class Encoder:
 
     The tokenizer's own pre-tokenizer starts a new token at a space that follows anything but white space, and looks no
     further back; so a text is the concatenation of its words, each but the first with the space before it. A text where a space
-    stands between other white space goes to the tokenizer whole.
+    stands between other white space goes to the tokenizer whole. The tokenizer's added tokens hold no space and so lie within words.
     """
 
     _RUN = re.compile(r"\s \s")
@@ -53,7 +54,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         vocabulary = self._tokenizer.get_vocab()
         self._after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self._after_space[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # how byte-level BPE writes a space
@@ -184,50 +184,51 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, left
 
 
-def pack_group(rows: pd.DataFrame, capacity: int, last: bool) -> pd.DataFrame:
-    """Packs one group; adds bin, offset and open (given up to the next round)."""
+def pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
+    """Packs one group; adds bin, offset and open (given up to a further round)."""
     rows = rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
     lengths = rows["length"].to_numpy(np.int64)
     bins, offsets, left = best_fit(lengths.tolist(), capacity)
     gap = len(left) - lower_bound(lengths, capacity)
-    emptiest = np.argsort(-np.array(left), kind="stable")[: 0 if last else 1 + 4 * gap]
+    emptiest = np.argsort(-np.array(left), kind="stable")[: 1 + 4 * gap]
     given = np.zeros(len(left), bool)
     given[[b for b in emptiest if left[b]]] = True
     return rows.assign(bin=bins, offset=offsets, open=given[bins])
 
 
-def _settler(capacity: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _settler(capacity: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         g = int(rows["g"].iloc[0])
-        out = pack_group(rows, capacity, last)
+        out = pack_group(rows, capacity)
         out["sequence_id"] = (level << 56) + (g << 24) + out["bin"]
         return out[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "g", "open"]]
 
     return settle
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, fan_in: int = FAN_IN) -> DataFrame:
-    """PACKED for every row of PIECES; sequence ids are unique but not consecutive. Runs a job for each round.
+def pack(items: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """PACKED for every row of PIECES; sequence ids are unique but not consecutive. Runs a job or two for each round.
 
-    Lengths must be from 1 to capacity. Repeated rows are packed as often as they occur; an empty table gives no rows. Equal
-    lengths are ordered by id, so a run gives the same packing for the same groups.
+    Lengths must be from 1 to capacity. Repeated rows and rows with null ids are packed as often as they occur; an empty table gives no rows.
+    Equal lengths are ordered by id, so a run gives the same packing for the same groups.
     """
     spark = items.sparkSession
     items = cut(items)
-    groups = tasks_for(spark, items.where(F.col("length") < capacity).count(), group_rows)
-    done = items.where(F.col("length") >= capacity).select("*", F.expr("monotonically_increasing_id() | (1L << 62)").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    rest = items.where(F.col("length") < capacity).withColumn("g", F.expr(f"pmod(xxhash64(doc_id, piece, ids_crc32), {groups})"))
-    level = 0
+    whole = F.col("length") >= capacity
+    done = items.where(whole).select("*", F.expr("monotonically_increasing_id() | (1L << 62)").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    rest, level, given = items.where(~whole), 0, None
+    groups = tasks_for(spark, rest.count(), group_rows)
     while True:
-        last = groups == 1
-
-        packed = cut(rest.groupBy("g").applyInPandas(_settler(capacity, level, last), PACKED + ", g bigint, open boolean"))
+        dealt = rest.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(level)), F.lit(groups)))
+        packed = cut(dealt.groupBy("g").applyInPandas(_settler(capacity, level), PACKED + ", g bigint, open boolean"))
+        opens = F.col("open").cast("int")
+        n = packed.agg(F.count_if(F.col("offset") == 0).alias("bins"), F.sum(opens).alias("rows"), F.count_if(F.col("open") & (F.col("offset") == 0)).alias("open")).first()
+        idle = given is not None and n["bins"] > given * (1 - least_gain)
+        if groups == 1 or idle or not n["rows"]:
+            return done.unionByName(packed.drop("g", "open"))
         done = done.unionByName(packed.where("not open").drop("g", "open"))
-        if last:
-            return done
-        rest = packed.where("open").drop("open", "sequence_id", "offset").withColumn("g", F.expr(f"g div {fan_in}"))
-        groups = -(-groups // fan_in)
-        level += 1
+        rest, given = packed.where("open").drop("open", "sequence_id", "offset", "g"), n["open"]
+        groups, level = max(1, -(-n["rows"] // group_rows)), level + 1
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
