@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import os
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,16 +14,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of text that one vectorised step of a Python worker handles at once; bounds its memory.
-CHUNK_ROWS = 2000
-CHUNK_BYTES = 8 << 20
+CHUNK_ROWS = 1000
+CHUNK_BYTES = 4 << 20
+#: Bytes of a record batch that Spark hands a Python worker, about; a single longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def limit_batches(spark: SparkSession) -> None:
-    """Keeps what Spark hands a Python worker at once to about a chunk; a smaller setting of the session stands."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if not 0 < now <= CHUNK_ROWS:
-        spark.conf.set(name, str(CHUNK_ROWS))
+    """Bounds the bytes that Spark hands a Python worker at once, so batches of very long texts don't add up.
+
+    Plans read the setting when they run, after an operator has returned, so it stays in the session. It changes no result, and a value of the
+    session's own stands.
+    """
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back: workers are used again, by other operators too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,25 +57,35 @@ def crc32_of_id(doc_id: Column) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder; the files outlive any executor."""
-    context = df.sparkSession.sparkContext
+    """Cuts lineage through the shared folder of spark.checkpoint.dir; the files outlive any executor.
+
+    Spark removes the files when the driver no longer refers to the table if spark.cleaner.referenceTracking.cleanCheckpoints is on. A local master,
+    whose executors are the driver's own process, may go without the setting; a cluster may not.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of record batches, of CHUNK_ROWS rows and about CHUNK_BYTES of text at most (one row at least)."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = CHUNK_ROWS, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches, of so many rows and about so many bytes of text at most (one row at least)."""
     for batch in batches:
         at = batch.schema.get_field_index(text)
         column, start, n = batch.column(at), 0, batch.num_rows
         while start < n:
             stop, held = start, 0
-            offsets = column.slice(start, min(CHUNK_ROWS, n - start))
+            offsets = column.slice(start, min(rows, n - start))
             sizes = pc.binary_length(offsets).to_pylist()
             for size in sizes:
                 held += size or 0
-                if stop > start and held > CHUNK_BYTES:
+                if stop > start and held > most:
                     break
                 stop += 1
             yield batch.slice(start, stop - start)
@@ -69,15 +97,18 @@ def byte_texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def mapped(df: DataFrame, chunk: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text") -> DataFrame:
-    """Applies chunk to slices of df's partitions."""
+def mapped(df: DataFrame, chunk: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, text: str = "text", rows: int = CHUNK_ROWS, most: int = CHUNK_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
+    """Applies chunk to slices of df's partitions; done is called at a partition's end, before what is free is given back."""
     limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches, text):
+        for piece in chunks(batches, text, rows, most):
             out = chunk(piece)
             if out is not None and out.num_rows:
                 yield out
+        if done is not None:
+            done()
+        release()
 
     return df.mapInArrow(run, schema)
 

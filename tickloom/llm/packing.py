@@ -32,8 +32,10 @@ END_ID = 0
 GROUP_ROWS = 50_000
 #: A round that saves a smaller share than this of the bins it was given is the last.
 LEAST_GAIN = 0.001
-#: Entries of a generation of a worker's word cache.
-CACHE_ENTRIES = 250_000
+#: Entries of a generation of a worker's word cache, which a partition's end empties.
+CACHE_ENTRIES = 150_000
+#: Rows and bytes that are encoded at once: words are Python strings and take ten times their bytes.
+_CHUNK_ROWS, _CHUNK_BYTES = 500, 2 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -86,6 +88,10 @@ class Encoder:
             yield first[head] + b"".join(map(later, tail)) if words else self._encode([text])[0].tobytes()
 
 
+    def clear(self) -> None:
+        self._first, self._later = WordCache(), WordCache()
+
+
 class WordCache:
     """Two generations: when the younger is full it becomes the older, whose words are taken over as they are used again."""
 
@@ -118,7 +124,8 @@ def default_tokenizer() -> str:
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """PIECES of every document: its ids and then end_id, cut so that all pieces but the first are full.
 
-    Null and empty texts are one piece of end_id alone. tokenizer: a path that exists on every executor.
+    Null and empty texts are one piece of end_id alone; null ids stay null; a repeated row gives its pieces each time; an empty table gives none.
+    A text of any length is encoded whole. tokenizer: a path that exists on every executor.
     """
     path = tokenizer or default_tokenizer()
     end = int(end_id).to_bytes(4, "little")
@@ -137,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return mapped(as_texts(docs), chunk, PIECES)
+    return mapped(as_texts(docs), chunk, PIECES, rows=_CHUNK_ROWS, most=_CHUNK_BYTES, done=lambda: _encoder(path).clear())
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
