@@ -4,15 +4,18 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from tickloom.llm import lm
 
+END = b"\n"
+
 
 class Tree:
     """Sequential context-tree weighting of one binary decision, with the frozen mixture read off."""
 
     def __init__(self, depth):
-        self.depth, self.counts = depth, {}
+        self.depth, self.counts, self.known, self.below = depth, {}, {}, {}
 
     def learn(self, context, bit):
         for d in range(self.depth + 1):
@@ -23,10 +26,13 @@ class Tree:
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
 
     def weighted(self, node):
-        if len(node) == self.depth:
-            return self.log_kt(node)
-        below = sum(self.weighted(x) for x in self.counts if len(x) == len(node) + 1 and x[: len(node)] == node)
-        return np.logaddexp(self.log_kt(node), below) - math.log(2)
+        if not self.known:
+            for x in sorted(self.counts, key=len, reverse=True):
+                below = self.below.get(x, 0.0)
+                self.known[x] = self.log_kt(x) if len(x) == self.depth else float(np.logaddexp(self.log_kt(x), below)) - math.log(2)
+                if x:
+                    self.below[x[:-1]] = self.below.get(x[:-1], 0.0) + self.known[x]
+        return self.known[node]
 
     def predict(self, context, bit, d=0):
         node = context[:d]
@@ -41,8 +47,8 @@ class Tree:
 def brute_scores(train, other, depth):
     trees = {}
 
-    def symbols(word):
-        line = b" " * depth + word + b" "
+    def symbols(words):
+        line = b"\n" * depth + b" ".join(words) + b"\n"
         for i in range(depth, len(line)):
             yield line[i - depth : i][::-1], line[i]
 
@@ -50,14 +56,13 @@ def brute_scores(train, other, depth):
         for k in range(8):
             yield trees.setdefault((1 << k) | (symbol >> (8 - k)), Tree(depth)), context, symbol >> (7 - k) & 1
 
-    end = (b" " * depth, 10)
     for words in train:
-        for context, symbol in [x for w in words for x in symbols(w)] + [end]:
+        for context, symbol in symbols(words):
             for tree, c, bit in each(context, symbol):
                 tree.learn(c, bit)
     for tree in trees.values():
         tree.counts.setdefault(b"", [0, 0])
-    return [sum(math.log10(t.predict(c, b)) for x in [x for w in words for x in symbols(w)] + [end] for t, c, b in each(*x)) for words in other]
+    return [sum(math.log10(t.predict(c, b)) for x in symbols(words) for t, c, b in each(*x)) for words in other]
 
 
 def split(text):
@@ -83,43 +88,57 @@ def test_scores_match_brute_force(spark):
         expected.append((d, out[d], len(c), sum(x > 0 for x in c), n, round(base, 8), round(s, 8)))
     frame = spark.createDataFrame([(d, t, 0.5) for d, t in docs], "doc_id long, text string, score double")
     for common in (2, 1000):
-        got = lm.score(frame, depth=3, classes=1, common_words=common).collect()
+        got = lm.score(frame, depth=3, common_words=common, common_grams=common).collect()
         assert sorted((*tuple(r)[:5], round(r.base_score, 8)) for r in got) == sorted(x[:6] for x in expected)
         assert np.allclose([r.score for r in sorted(got)], [x[6] for x in sorted(expected)], rtol=1e-5)
+        sizes = {(d, len(c)): len(b" ".join(split(t))) + 1 for (d, t), c in zip(docs, [split(t) + [END] for _, t in docs], strict=True)}
+        assert all(abs(r.bits_per_byte * sizes[r.doc_id, r.n_tokens] + r.score * math.log2(10)) < 1e-6 for r in got)
+
+
+def test_depth_is_the_same_at_any_size(spark):
+    """A corpus of a few documents and one of twelve times as many words are scored by trees of the same depth, as brute force has them."""
+    rng = random.Random(6)
+    for n in (6, 72):
+        docs = [(k, " ".join("".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(25))) for k in range(n)]
+        train = [split(t) for d, t in docs if zlib.crc32(str(d).encode()) % 10]
+        got = sorted(lm.score(spark.createDataFrame(docs, "doc_id long, text string"), common_grams=64, common_words=8).collect())
+        assert np.allclose([r.score for r in got], brute_scores(train, [split(t) for _, t in docs], lm.DEPTH), rtol=1e-5)
 
 
-def test_classes_have_trees_of_their_own(spark):
-    rng = random.Random(2)
-    docs = [(k, " ".join(rng.choice(["abab", "baa", "aab"] if k % 2 else ["xyx", "yyx", "xxyy"]) for _ in range(12))) for k in range(80)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    one, two = ({(r.doc_id): r for r in lm.score(frame, classes=c, common_words=2).collect()} for c in (1, 2))
-    # Each class's tree is the tree of its documents alone, and its share of the training documents codes the class.
-    train = [[split(t) for d, t in docs if d % 2 == side and zlib.crc32(str(d).encode()) % 10] for side in (0, 1)]
-    for side in (0, 1):
-        mine = [(d, split(t)) for d, t in docs if d % 2 == side]
-        share = math.log10((len(train[side]) + 1) / (len(train[0]) + len(train[1]) + 2))
-        for (d, _), s in zip(mine, brute_scores(train[side], [w for _, w in mine], lm.DEPTH), strict=True):
-            assert abs(two[d].score - s - share) < 1e-4 * abs(s)
-            assert abs(two[d].base_score - one[d].base_score) < 1e-9
-    assert sum(r.score for r in two.values()) > sum(r.score for r in one.values())
+def test_blocks_of_whole_subtrees(spark, monkeypatch):
+    """Blocks end where a subtree does, so their size doesn't matter."""
+    rng = np.random.default_rng(3)
+    gram, n = lm.summed(rng.integers(97, 101, (4000, 6), np.uint64) @ (np.uint64(256) ** np.arange(6, dtype=np.uint64))[::-1], np.ones(4000, np.int64))
+    batches = [pa.RecordBatch.from_arrays([pa.array(gram[a : a + 50].view(np.int64)), pa.array(n[a : a + 50])], ["gram", "n"]) for a in range(0, len(gram), 50)]
+    monkeypatch.setattr(lm, "_BLOCK", 100)
+    blocks = list(lm._whole_subtrees(iter(batches), 24))
+    assert len(blocks) > 5 and (np.concatenate([g for g, _ in blocks]) == gram).all()
+    near = [set((g >> np.uint64(24)).tolist()) for g, _ in blocks]
+    assert sum(map(len, near)) == len(set().union(*near))
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    words = [bytes(rng.integers(97, 100, rng.integers(1, 6)).astype(np.uint8)) for _ in range(200)]
-    gram, _ = lm.word_grams(words, 2)
-    known, n = np.unique(gram, return_counts=True)
-    for context in (0x2020, 0x6120, 0x6262, 0x7A7A):
+    line = b" ".join(bytes(rng.integers(97, 100, rng.integers(1, 6)).astype(np.uint8)) for _ in range(200))
+    data, starts, sizes = lm.stream([line.split()], 3)
+    known, n = np.unique(lm.coded(data, int(starts[0]), int(starts[0] + sizes[0]), 3), return_counts=True)
+    for context in (0x0A0A0A, 0x206120, 0x626262, 0x7A7A7A, 0x61627A):
         every = np.uint64(context << 8) + np.arange(256, dtype=np.uint64)
-        table, counts = np.concatenate((known, every[~np.isin(every, known)])), np.concatenate((n, np.zeros(256 - np.isin(every, known).sum())))
-        score = lm.tree_scores(table, counts.astype(float), 2)
-        assert abs(np.exp(score[np.isin(table, every)]).sum() - 1) < 1e-9
+        gram, counts = lm.summed(np.concatenate((known, every)), np.concatenate((n, np.zeros(256, np.int64))))
+        key, zeros, ones, below = lm.top_sums(gram, counts, 3, 2)
+        order = np.argsort(key)
+        score = lm.Top.weighted(key[order], zeros[order], ones[order], below[order], 2).scores(gram, counts, 3, 2)
+        assert abs(np.exp(score[np.isin(gram, every)]).sum() - 1) < 1e-9
 
 
-def test_smaller_tree_when_grams_are_many(spark):
-    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
-    a, b = (lm.score(docs, depth=4, max_grams=m).agg({"score": "sum"}).first()[0] for m in (1 << 20, 20))
-    assert b < a < 0
+def test_table_holds_the_first_of_a_slot():
+    rng = np.random.default_rng(1)
+    gram, value = np.unique(rng.integers(0, 1 << 48, 5000, np.uint64)), rng.random(5000).astype(np.float32)
+    rng.shuffle(gram)
+    table = lm.Table.of(gram, value[: len(gram)])
+    got, missed = table.look_up(np.concatenate((gram, np.array([7, 9], np.uint64))))
+    held = np.setdiff1d(np.arange(len(gram)), missed)
+    assert {len(gram), len(gram) + 1} <= set(missed.tolist()) and len(missed) < 300 and np.array_equal(got[held], value[held].astype(float))
 
 
 def test_better_than_the_base_on_held_out(spark, sf):
@@ -131,13 +150,3 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(22, None)], "doc_id long, text string")
     assert lm.score(docs.limit(0)).count() == 0
     assert lm.score(docs).first().n_tokens == 1
-
-
-def test_classes_are_the_means_of_all_training_documents(spark, sf):
-    docs = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet").selectExpr("doc_id", "text", "doc_id % 10 = 0 AS held_out")
-    centres = lm.fit_classes(docs, 4, 60)
-    points = np.array([lm.letters(lm.words_of((r.text or "").encode())) for r in docs.where("not held_out").collect()])
-    own = lm.nearest(centres, points)
-    assert len(set(own.tolist())) == 4
-    for k in range(4):
-        assert np.abs(points[own == k].mean(0) - centres[k]).max() < 1e-5

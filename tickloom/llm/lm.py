@@ -1,22 +1,23 @@
 """Language-model scoring by context-tree weighting over bytes.
 
-A text is a stream of words, each closed by a space, and an end. Bytes are decomposed into eight binary decisions; for each, a
-context tree over the preceding bytes of the word (and its start) holds Krichevsky-Trofimov counts at every depth, and the weighting recursion mixes all
-depths. After training the tree is frozen: a decision's probability is the mixture along its context path.
+A text is the stream of its words, a space between two, and an end. Bytes are decomposed into eight binary decisions; for each, a
+context tree over the `depth` preceding bytes, whatever words they lie in, holds Krichevsky-Trofimov counts at every depth, and the weighting recursion
+mixes all depths. After training the tree is frozen: a decision's probability is the mixture along its context path. Before a text's first byte stand ends.
 
-Documents fall into a few classes (of language and style) by their letters, as k-means over all training documents finds them from
-centres that a bounded sample starts; each class has a tree of its own, and a text's code is its class, then its words under that class's tree.
+All trees of all depths are functions of the counts of grams (a symbol after its `depth` bytes), so these are what one pass over all documents gathers:
+a task merges its own counts, then they are dealt out by their nearest _TOP + 1 context bytes and summed. Each such context's subtree lies in one
+partition, sorted, and is weighted there, a block of whole subtrees at a time; what the subtrees add up to by their nearest _TOP bytes, a number that the
+alphabet bounds and not the corpus, goes to the driver, which weights the rest. A second pass over the counts gives each gram its probability.
 
-Contexts end at the word's start, so a word's code length depends on the word and class alone. Everything is therefore computed on the
-corpus's vocabulary, which one pass over all documents counts: first the n-grams of the trees, then scores for each distinct word. The
-trees' size is bounded by `max_grams`: their depth is the largest whose n-grams are no more than that. Documents add up their words'
-scores. The commonest words, a fixed number, are looked up in a broadcast table; the others are joined by word.
+Documents then add up their symbols' probabilities. The commonest grams and words, a fixed number of each, are looked up in broadcast tables; the others
+are joined.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -24,177 +25,103 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import byte_texts, chunks, crc32_of_id, cut
+from tickloom.llm.common import byte_texts, chunks, crc32_of_id, cut, limit_batches, release
 
 DEPTH = 5
-CLASSES = 8
-SAMPLE_ROWS = 4000
-MAX_GRAMS = 1 << 20
+COMMON_GRAMS = 1 << 20
 COMMON_WORDS = 1 << 18
-MAX_PASSES = 25
-_UNIT = 1 << 24
-_FLUSH = 200_000
+#: Depths whose nodes the driver weights: at most 256 ** _TOP contexts, a few thousand in text.
+_TOP = 2
+#: Distinct words, and grams, that a task holds before it hands them on.
+_FLUSH_WORDS, _FLUSH_GRAMS = 300_000, 1_500_000
+#: Symbols that are coded at once, and grams that are weighted at once (more where one subtree has more).
+_SYMBOLS, _BLOCK = 1 << 21, 1 << 18
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
-LN10 = float(np.log(10.0))
+LN10, LN2 = float(np.log(10.0)), float(np.log(2.0))
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).split()
 
 
-def letters(words: list[bytes]) -> np.ndarray:
-    """Square roots of the shares of the bytes of the words."""
-    n = np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256)
-    return np.sqrt(n / max(n.sum(), 1)).astype(np.float32)
+def stream(texts: list[list[bytes]], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts (lists of words) with what stands before each; where each text's symbols start, and how many it has."""
+    joined, gap = [b" ".join(words) for words in texts], END * (depth - 1)
+    sizes = np.fromiter(map(len, joined), np.int64, len(joined)) + 1
+    data = np.frombuffer(END * depth + (END + gap).join(joined) + END, np.uint8)
+    return data, depth + np.cumsum(sizes + len(gap)) - sizes - len(gap), sizes
 
 
-def nearest(centres: np.ndarray, points: np.ndarray) -> np.ndarray:
-    return (2 * points @ centres.T - (centres**2).sum(1)).argmax(1)
-
+def coded(data: np.ndarray, a: int, b: int, depth: int) -> np.ndarray:
+    """Grams of places a to b - 1: the `depth` preceding bytes, the nearest highest, and then the symbol."""
+    gram = np.zeros(b - a, np.uint64)
+    for d in range(1, depth + 1):
+        gram = gram << np.uint64(8) | data[a - d : b - d]
+    return gram << np.uint64(8) | data[a:b]
 
-def _settle(centres: np.ndarray, trained: DataFrame) -> np.ndarray:
-    """k-means over all training texts until the centres stand, MAX_PASSES at most. A pass sends a sum and count for each class and byte."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([letters(words_of(x)).tobytes() for x in byte_texts(batch)], pa.binary())], ["letters"])
-
-    points = cut(trained.select("text").mapInArrow(read, "letters binary"))
-    for _ in range(MAX_PASSES):
-        shared = trained.sparkSession.sparkContext.broadcast(centres)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            middle = shared.value
-            sums, sizes = np.zeros(middle.shape, np.int64), np.zeros(len(middle), np.int64)
-            for batch in batches:
-                if batch.num_rows:
-                    found = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.float32).reshape(-1, 256)
-                    own, whole = nearest(middle, found), np.rint(found.astype(np.float64) * _UNIT).astype(np.int64)
-                    for k in range(len(middle)):
-                        sums[k] += whole[own == k].sum(0)
-                    sizes += np.bincount(own, minlength=len(middle))
-            kind, byte = np.divmod(np.arange(sums.size), 256)
-            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(byte), pa.array(sums.ravel()), pa.array(sizes[kind])], ["class", "byte", "total", "n"])
-
-        parts = points.mapInArrow(run, "class bigint, byte bigint, total bigint, n bigint")
-        moved = centres.copy()
-        for r in parts.groupBy("class", "byte").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).where("n > 0").collect():
-            moved[r["class"], r["byte"]] = r["total"] / r["n"] / _UNIT
-        shared.unpersist()
-        if np.array_equal(moved, centres):
-            break
-        centres = moved
-    return centres
+def grams_of(texts: list[list[bytes]], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of the texts' grams: a value for each place, which places are symbols, and where texts start among them (the first may be under way)."""
+    data, starts, sizes = stream(texts, depth)
+    edge = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + sizes, -1)
+    inside = np.cumsum(edge[:-1]) > 0
+    for a in range(depth, len(data), _SYMBOLS):
+        b = min(a + _SYMBOLS, len(data))
+        yield coded(data, a, b, depth), inside[a:b], starts - a
 
 
-def fit_classes(docs: DataFrame, n_classes: int, sample_rows: int) -> np.ndarray:
-    """Centres of the classes: k-means over all training texts. About sample_rows of them, picked by a hash of their ids, give the starting centres."""
-    trained = docs.where("not held_out")
-    share = min(1.0, sample_rows / max(trained.count(), 1))
-    picked = trained.where(F.pmod(F.xxhash64("doc_id", F.lit("lm")), F.lit(1 << 30)) < int(share * (1 << 30)))
+def summed(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, with the sums of n."""
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            found = [letters(words_of(x)).tobytes() for x in byte_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.binary())], ["doc_id", "letters"])
-
-    rows = picked.select("text", "doc_id").mapInArrow(run, "doc_id bigint, letters binary").orderBy("doc_id", "letters").collect()
-    points = np.array([np.frombuffer(r.letters, np.float32) for r in rows] or [np.zeros(256, np.float32)])
-    centres = points[[((points - points.mean(0)) ** 2).sum(1).argmin()]]
-    while len(centres) < n_classes:
-        far = np.min([((points - c) ** 2).sum(1) for c in centres], axis=0)
-        if far.max() <= 0:
-            break
-        centres = np.vstack([centres, points[far.argmax()]])
-    for _ in range(25):
-        own = nearest(centres, points)
-        centres = np.array([points[own == k].mean(0) if (own == k).any() else c for k, c in enumerate(centres)])
-    return _settle(centres, trained)
 
+def counted(gram: np.ndarray, weight: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, sorted, with weight times how often each occurs."""
+    gram = np.sort(gram)
+    first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+    return gram[first], np.diff(np.append(first, len(gram))) * weight
 
-def count_words(docs: DataFrame, centres: np.ndarray) -> DataFrame:
-    """(word binary, trained, total, seen bigint, n0 bigint, ...) for each distinct word of docs (text, held_out).
 
-    nK counts training occurrences in class K; seen has a bit for each class in which the word occurs at all. END, which no word
-    equals, counts the texts.
-    """
-    classes = len(centres)
-    shared = docs.sparkSession.sparkContext.broadcast(centres)
+def count_grams(docs: DataFrame, depth: int) -> DataFrame:
+    """(gram, n): how often each gram of docs (text, held_out) occurs in training texts, 0 for those of other texts only. Dealt by the nearest bytes and sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[Counter, Counter]] = [(Counter(), Counter()) for _ in range(classes)]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, (trained, other) in enumerate(held):
-                names = list(trained.keys() | other.keys())
-                if names:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([k] * len(names), pa.int32()), pa.array([trained[w] for w in names], pa.int64()), pa.array([other[w] for w in names], pa.int64())], ["word", "class", "trained", "other"])
-                trained.clear()
-                other.clear()
+        def merged() -> None:
+            held[:] = [summed(np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held]))]
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            merged()
+            gram, n = held.pop()
+            for a in range(0, len(gram), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(gram[a : a + (1 << 17)].view(np.int64)), pa.array(n[a : a + (1 << 17)])], ["gram", "n"])
 
         for batch in chunks(batches):
+            out = batch.column(1).to_pylist()
             texts = [words_of(x) for x in byte_texts(batch)]
-            own = nearest(shared.value, np.array([letters(x) for x in texts]))
-            for words, out, k in zip(texts, batch.column(1).to_pylist(), own.tolist(), strict=True):
-                held[k][out].update(words)
-                held[k][out][END] += 1
-            if sum(len(x) for pair in held for x in pair) > _FLUSH:
-                yield from flush()
-        yield from flush()
-
-    partial = docs.select("text", "held_out").mapInArrow(run, "word binary, class int, trained bigint, other bigint")
-    return partial.groupBy("word").agg(
-        F.sum("trained").alias("trained"), F.sum(F.col("trained") + F.col("other")).alias("total"), F.bit_or(F.expr("shiftleft(1L, class)")).alias("seen"),
-        *[F.sum(F.when(F.col("class") == k, F.col("trained")).otherwise(0)).alias(f"n{k}") for k in range(classes)],
-    )
-
-
-def word_grams(words: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each symbol of the words (their bytes and closing space) after its context, and where each word's symbols start.
-
-    A gram is the `depth` preceding bytes, the nearest highest, and then the symbol; before a word's start stand spaces.
-    """
-    gap = b" " * max(depth, 1)
-    b = np.frombuffer(gap + gap.join(words) + gap, np.uint8)
-    solid = b != 32
-    symbol = solid.copy()
-    symbol[1:] |= solid[:-1]
-    at = np.flatnonzero(symbol)
-    gram = np.zeros(len(at), np.uint64)
-    for d in range(1, depth + 1):
-        gram = gram << np.uint64(8) | b[at - d].astype(np.uint64)
-    gram = gram << np.uint64(8) | b[at].astype(np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    return gram, np.concatenate(([0], np.cumsum(lengths)[:-1])) if len(words) else np.zeros(0, np.int64)
-
-
-def end_gram(depth: int) -> int:
-    """The gram of a text's end: a line feed at a word's start."""
-    return int.from_bytes(b" " * depth + END, "big")
-
-
-def count_grams(vocabulary: DataFrame, depth: int, classes: int) -> DataFrame:
-    """(gram, seen, n0, ... bigint): how often each gram of the vocabulary's words is trained on in each class, and where it occurs."""
-    names = ["seen", *[f"n{k}" for k in range(classes)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "word"):
-            words = batch.column(0).to_pylist()
-            gram, starts = word_grams(words, depth)
-            distinct, place = np.unique(gram, return_inverse=True)
-            of = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(gram))))
-            seen = np.zeros(len(distinct), np.int64)
-            np.bitwise_or.at(seen, place, batch.column(1).to_numpy()[of])
-            sums = [np.bincount(place, batch.column(2 + k).to_numpy()[of], len(distinct)).astype(np.int64) for k in range(classes)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (distinct.astype(np.int64), seen, *sums)], ["gram", *names])
-
-    grams = vocabulary.select("word", *names).mapInArrow(run, ", ".join(f"{x} bigint" for x in ["gram", *names]))
-    return _summed(grams, F.col("gram"), classes)
-
-
-def _summed(grams: DataFrame, gram: Column, classes: int) -> DataFrame:
-    return grams.groupBy(gram.alias("gram")).agg(F.bit_or("seen").alias("seen"), *[F.sum(f"n{k}").alias(f"n{k}") for k in range(classes)])
+            for side in (False, True):
+                for gram, inside, _ in grams_of([x for x, o in zip(texts, out, strict=True) if o == side], depth):
+                    held.append(counted(gram[inside], 0 if side else 1))
+            if sum(len(g) for g, _ in held) > 2 * _FLUSH_GRAMS:
+                merged()
+                if len(held[0][0]) > _FLUSH_GRAMS:
+                    yield from rows()
+        if held:
+            yield from rows()
+        held.clear()
+        release()
+
+    limit_batches(docs.sparkSession)
+    near = F.shiftrightunsigned("gram", 8 * (depth - _TOP)).alias("near")
+    parts = docs.select("text", "held_out").mapInArrow(run, "gram bigint, n bigint").select(near, "gram", "n").repartition("near")
+    return parts.groupBy("near", "gram").agg(F.sum("n").alias("n")).sortWithinPartitions("gram").select("gram", "n")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -212,170 +139,324 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
 
 
-def tree_scores(gram: np.ndarray, n: np.ndarray, depth: int) -> np.ndarray:
-    """ln P(symbol | context) of each gram under the frozen tree that counts n train.
+@dataclass
+class Nodes:
+    """Nodes of one depth, by key (context << 8 | bits so far): ln of the weighted probability, the weight of the own estimate, zeros and ones."""
+
+    key: np.ndarray
+    log_w: np.ndarray
+    own: np.ndarray
+    zeros: np.ndarray
+    ones: np.ndarray
+
+    @classmethod
+    def weighted(cls, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> Nodes:
+        """below: ln of the product of the children's weighted probabilities; None for leaves."""
+        kt = log_kt(zeros, ones)
+        if below is None:
+            return cls(key, kt, np.ones(len(key)), zeros, ones)
+        log_w = np.logaddexp(kt, below) - LN2
+        return cls(key, log_w, np.exp(kt - LN2 - log_w), zeros, ones)
+
+    def above(self) -> Nodes:
+        """The nodes of the depth before, whose contexts lack the farthest byte."""
+        key, place = np.unique((self.key >> np.uint64(16)) << np.uint64(8) | self.key & np.uint64(255), return_inverse=True)
+        add = lambda x: np.bincount(place, x, len(key))
+        return Nodes.weighted(key, add(self.zeros), add(self.ones), add(self.log_w))
+
+    def estimate(self, at: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The own estimate of a bit, and whether training saw the node."""
+        seen = self.zeros[at] + self.ones[at]
+        return (np.where(bit, self.ones[at], self.zeros[at]) + 0.5) / (seen + 1.0), seen > 0
+
+
+def subtrees(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Nodes]]:
+    """For each of the eight bits of whole subtrees below depth `top`: the bits' keys, the bit, the mixture from depth top + 1 on, whether training saw
+    that depth's node, and the nodes of that depth.
 
     A context that training never saw gives the estimate of its deepest ancestor that training saw. So for each context the
     probabilities of the 256 symbols sum to one.
     """
-    total = np.zeros(len(gram))
     symbol, context = (gram & np.uint64(255)).astype(np.int64), gram >> np.uint64(8)
     for k in range(8):
-        prefix, bit = (1 << k) | (symbol >> (8 - k)), symbol >> (7 - k) & 1
-        ids, sizes, zeros, ones = [], [], [], []
-        for d in range(depth + 1):
-            kept = context >> np.uint64(8 * (depth - d)) if d else np.zeros_like(context)
-            nodes, place = np.unique(kept << np.uint64(8) | prefix.astype(np.uint64), return_inverse=True)
-            ids.append(place)
-            sizes.append(len(nodes))
-            zeros.append(np.bincount(place, n * (bit == 0), len(nodes)))
-            ones.append(np.bincount(place, n * (bit == 1), len(nodes)))
-        below, own_weight = None, [np.ones(s) for s in sizes]
-        for d in range(depth, -1, -1):
-            kt = log_kt(zeros[d], ones[d])
-            if below is None:
-                weighted = kt
-            else:
-                first = np.unique(ids[d + 1], return_index=True)[1]  # a gram of each child
-                children = np.bincount(ids[d][first], below, sizes[d])
-                weighted = np.logaddexp(kt, children) - np.log(2)
-                own_weight[d] = np.exp(kt - np.log(2) - weighted)
-            below = weighted
-        mixed = None
-        for d in range(depth, -1, -1):
-            seen = (zeros[d] + ones[d])[ids[d]]
-            own = (np.where(bit, ones[d][ids[d]], zeros[d][ids[d]]) + 0.5) / (seen + 1.0)
-            if mixed is None:
-                mixed, known = own, seen > 0
-            else:
-                share = own_weight[d][ids[d]]
-                mixed = np.where(known, share * own + (1 - share) * mixed, own)
-                known = seen > 0
-        total += np.log(mixed)
-    return total
-
-
-def train_trees(vocabulary: DataFrame, ends: list[int], depth: int, max_grams: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(sorted grams, ln P of each in each class, depth). The grams come to the driver; there are max_grams at most.
-
-    A class has a value for the grams that occur in it, trained on or not; the others are never asked for.
+        prefix, bit = ((1 << k) | (symbol >> (8 - k))).astype(np.uint64), symbol >> (7 - k) & 1
+        key, place = np.unique(context << np.uint64(8) | prefix, return_inverse=True)
+        nodes = Nodes.weighted(key, np.bincount(place, n * (bit == 0), len(key)), np.bincount(place, n * (bit == 1), len(key)), None)
+        mixed, known = nodes.estimate(place, bit)
+        for d in range(depth - 1, top, -1):
+            nodes = nodes.above()
+            place = np.searchsorted(nodes.key, (context >> np.uint64(8 * (depth - d))) << np.uint64(8) | prefix)
+            own, seen = nodes.estimate(place, bit)
+            share = nodes.own[place]
+            mixed, known = np.where(known, share * own + (1 - share) * mixed, own), seen
+        yield (context >> np.uint64(8 * (depth - top))) << np.uint64(8) | prefix, bit, mixed, known, nodes
+
+
+@dataclass
+class Top:
+    """What the depths up to `top` make of a mixture p from below: slope * p + base, or plain where training saw nothing below. By bit and node."""
+
+    key: np.ndarray
+    slope: np.ndarray
+    base: np.ndarray
+    plain: np.ndarray
+
+    @classmethod
+    def weighted(cls, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray, top: int) -> Top:
+        levels = [Nodes.weighted(key, zeros, ones, below)]
+        for _ in range(top):
+            levels.append(levels[-1].above())
+        slope, base, plain = (np.zeros((2, len(key))) for _ in range(3))
+        for bit in range(2):
+            bits, place = np.full(len(key), bit), np.arange(len(key))
+            own, known = levels[0].estimate(place, bits)
+            share = levels[0].own
+            s, b, p = 1 - share, share * own, own
+            for up, nodes in enumerate(levels[1:], 1):
+                place = np.searchsorted(nodes.key, (key >> np.uint64(8 * (up + 1))) << np.uint64(8) | key & np.uint64(255))
+                own, seen = nodes.estimate(place, bits)
+                share = nodes.own[place]
+                s, b, p = np.where(known, (1 - share) * s, 0.0), np.where(known, share * own + (1 - share) * b, own), np.where(known, share * own + (1 - share) * p, own)
+                known = seen
+            slope[bit], base[bit], plain[bit] = s, b, p
+        return cls(key, slope, base, plain)
+
+    def scores(self, gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> np.ndarray:
+        """ln P(symbol | context) of the grams of whole subtrees."""
+        total = np.zeros(len(gram))
+        for key, bit, mixed, known, _ in subtrees(gram, n, depth, top):
+            at = np.searchsorted(self.key, key)
+            total += np.log(np.where(known, self.slope[bit, at] * mixed + self.base[bit, at], self.plain[bit, at]))
+        return total
+
+
+def top_sums(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of whole subtrees: the nodes of depth top, their zeros and ones, and the ln of the product of their children's weighted probabilities."""
+    found = []
+    for *_, nodes in subtrees(gram, n, depth, top):
+        key, place = np.unique((nodes.key >> np.uint64(16)) << np.uint64(8) | nodes.key & np.uint64(255), return_inverse=True)
+        found.append((key, *(np.bincount(place, x, len(key)) for x in (nodes.zeros, nodes.ones, nodes.log_w))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _whole_subtrees(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of sorted (gram, n), cut where the context's nearest bytes change."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+        size += batch.num_rows
+        if size >= _BLOCK:
+            gram, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            stop = int(np.searchsorted(gram >> np.uint64(shift), gram[-1] >> np.uint64(shift)))
+            if stop:
+                yield gram[:stop], n[:stop]
+            held, size = [(gram[stop:], n[stop:])], len(gram) - stop
+    if size:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def train(grams: DataFrame, depth: int) -> DataFrame:
+    """(gram, n, log_p float): ln P(symbol | context) of each of count_grams' grams, which are read twice."""
+    top = _TOP
+    shift = 8 * (depth - top)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n in _whole_subtrees(batches, shift):
+            key, zeros, ones, below = top_sums(gram, n, depth, top)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(zeros), pa.array(ones), pa.array(below)], ["key", "zeros", "ones", "below"])
+        release()
+
+    parts = grams.mapInArrow(sums, "key bigint, zeros double, ones double, below double")
+    rows = parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
+    columns = [rows.column(c).to_numpy() for c in range(4)]
+    order = np.argsort(columns[0])
+    shared = grams.sparkSession.sparkContext.broadcast(Top.weighted(columns[0][order].astype(np.uint64), *(c[order] for c in columns[1:]), top))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for gram, n in _whole_subtrees(batches, shift):
+            log_p = shared.value.scores(gram, n, depth, top).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(n), pa.array(log_p)], ["gram", "n", "log_p"])
+        release()
+
+    return grams.mapInArrow(score, "gram bigint, n bigint, log_p float")
+
+
+@dataclass
+class Table:
+    """Grams and their values in two direct-mapped tables; of grams that share their slots in both only the first is held."""
+
+    bits: int
+    keys: list[np.ndarray]
+    values: list[np.ndarray]
+
+    _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+    @classmethod
+    def of(cls, gram: np.ndarray, value: np.ndarray) -> Table:
+        """gram: distinct, the most wanted first."""
+        bits = max(int(2 * len(gram)).bit_length(), 1)
+        out = cls(bits, [], [])
+        for mix in cls._MIX:
+            slot, first = np.unique((gram * mix) >> np.uint64(64 - bits), return_index=True)
+            keys, values = np.full(1 << bits, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << bits, np.float32)
+            keys[slot], values[slot] = gram[first], value[first]
+            out.keys.append(keys)
+            out.values.append(values)
+            rest = np.ones(len(gram), bool)
+            rest[first] = False
+            gram, value = gram[rest], value[rest]
+        return out
+
+    def look_up(self, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values, 0 for grams that aren't held, and where those are."""
+        slot = (gram * self._MIX[0]) >> np.uint64(64 - self.bits)
+        good = self.keys[0][slot] == gram
+        out = np.where(good, self.values[0][slot], np.float32(0)).astype(np.float64)
+        missed = np.flatnonzero(~good)
+        slot = (gram[missed] * self._MIX[1]) >> np.uint64(64 - self.bits)
+        good = self.keys[1][slot] == gram[missed]
+        out[missed] = np.where(good, self.values[1][slot], np.float32(0))
+        return out, missed[~good]
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word binary, trained, total bigint): how often each distinct word of docs (text, held_out) occurs in training and in all texts. END, which no word equals, counts the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trained, other = Counter(), Counter()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for counts, used in ((trained, True), (other, False)):
+                names, n = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                counts.clear()
+                for a in range(0, len(names), 1 << 16):
+                    part = pa.array(n[a : a + (1 << 16)])
+                    yield pa.RecordBatch.from_arrays([pa.array(names[a : a + (1 << 16)], pa.binary()), part if used else pa.array(np.zeros(len(part), np.int64)), part], ["word", "trained", "total"])
+
+        for batch in chunks(batches):
+            for text, out in zip(byte_texts(batch), batch.column(1).to_pylist(), strict=True):
+                counts = other if out else trained
+                counts.update(words_of(text))
+                counts[END] += 1
+                if len(trained) + len(other) > _FLUSH_WORDS:
+                    yield from flush()
+        yield from flush()
+        release()
+
+    limit_batches(docs.sparkSession)
+    parts = docs.select("text", "held_out").mapInArrow(run, "word binary, trained bigint, total bigint")
+    return parts.groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total"))
+
+
+def commonest(rows: DataFrame, of: str, at_most: int) -> DataFrame:
+    """The rows whose count `of` reaches some threshold, the least for which they are no more than at_most.
+
+    The threshold comes from a histogram of counts, exact up to 1024 and with 64 steps for each doubling above; no sort and no single task is needed.
     """
-    classes = len(ends)
-    full = cut(count_grams(vocabulary, depth, classes))
-    at = depth
-    while True:
-        context = F.shiftright(F.shiftright("gram", 8), 8 * (depth - at)) if at else F.lit(0).cast("bigint")
-        table = _summed(full, F.shiftleft(context, 8) + F.col("gram").bitwiseAND(F.lit(255)), classes) if at < depth else full
-        if at == 0 or table.count() < max_grams:
+    exact = 1024
+    step = F.when(F.col(of) < exact, F.col(of)).otherwise(exact + F.floor(64 * F.log2(F.col(of) / float(exact)))).cast("bigint")
+    sizes = sorted(((r["step"], r["n"]) for r in rows.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, held = sizes[0][0] + 1 if sizes else 0, 0
+    for at, n in sizes:
+        if held + n > at_most:
             break
-        at -= 1
-    rows = table.select("gram", F.col("seen").cast("int"), *[F.col(f"n{k}").cast("float") for k in range(classes)]).toArrow()
-    gram = np.append(rows.column(0).to_numpy().astype(np.uint64), np.uint64(end_gram(at)))
-    seen = np.append(rows.column(1).to_numpy(), (1 << classes) - 1)
-    order = np.argsort(gram)
-    log_p = np.zeros((len(gram), classes), np.float32)
-    for k, n_ends in enumerate(ends):
-        n = np.append(rows.column(2 + k).to_numpy(), n_ends).astype(np.float64)
-        here = order[(seen[order] >> k & 1).astype(bool)]
-        log_p[here, k] = tree_scores(gram[here], n[here], at)
-    return gram[order], log_p[order], at
-
-
-def score_words(vocabulary: DataFrame, gram: np.ndarray, log_p: np.ndarray, depth: int) -> DataFrame:
-    """(word, trained, total, log_p): a word's ln probabilities, with its closing space, in each class where it occurs."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast((gram, log_p))
+        least, held = at, held + n
+    return rows.where(step >= least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, score = shared.value
-        for batch in chunks(batches, "word"):
-            found, starts = word_grams(batch.column(0).to_pylist(), depth)
-            value = np.add.reduceat(score[np.searchsorted(known, found)].astype(np.float64), starts)
-            there = batch.column(3).to_numpy()[:, None] >> np.arange(value.shape[1]) & 1
-            flat = pa.array(value.ravel(), mask=there.ravel() == 0)
-            lists = pa.ListArray.from_arrays(np.arange(0, value.size + 1, value.shape[1], dtype=np.int32), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["word", "trained", "total", "log_p"])
 
-    return vocabulary.select("word", "trained", "total", "seen").mapInArrow(run, "word binary, trained bigint, total bigint, log_p array<double>")
+_PARTIAL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_bytes bigint, known bigint, base double, log_p double, key binary, n bigint"
+_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
 
 
-_PARTIAL = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, log_p double, word binary, class int, n bigint"
-_TYPES = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int32(), pa.int64())
+def _looked_up(texts: list[list[bytes]], table: Table, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's sum over the grams that the table holds; and (text, gram, times) of the others."""
+    sums, lacking = np.zeros(len(texts)), []
+    for gram, inside, starts in grams_of(texts, depth):
+        value, missed = table.look_up(gram)
+        value[~inside] = 0
+        here = np.flatnonzero((starts < len(gram)) & (np.append(starts[1:], len(gram) + 1) > 0))
+        sums[here] += np.add.reduceat(value, np.maximum(starts[here], 0))
+        missed = missed[inside[missed]]
+        owner = np.searchsorted(starts, missed, side="right") - 1
+        lacking.append(np.stack([owner.astype(np.uint64), gram[missed]], axis=1))
+    pairs, n = np.unique(np.concatenate(lacking), axis=0, return_counts=True)
+    return sums, pairs[:, 0].astype(np.int64), pairs[:, 1], n
 
 
-def _partial_scores(docs: DataFrame, centres: np.ndarray, common: dict[bytes, int], trained: np.ndarray, log_p: np.ndarray, n_ends: int, start: np.ndarray) -> DataFrame:
-    """For each document a row of sums over its class, end and common words, and a row for each distinct other word."""
-    shared = docs.sparkSession.sparkContext.broadcast((centres, common, trained > 0, np.log10(trained + 0.1), log_p, start))
+def _partial_scores(docs: DataFrame, depth: int, table: Table, common: dict[bytes, int], trained: np.ndarray, n_ends: int) -> DataFrame:
+    """For each document a row of sums over its end and what is common, and a row for each distinct other word and gram, by key."""
+    shared = docs.sparkSession.sparkContext.broadcast((table, common, trained > 0, np.log10(trained + 0.1)))
     names = [x.split()[0] for x in _PARTIAL.split(", ")]
+    end_known, end_base = int(n_ends > 0), float(np.log10(n_ends + 0.1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        middle, place, is_known, base, score, first = shared.value
+        held, place, is_known, base = shared.value
         for batch in chunks(batches):
-            texts = [words_of(x) for x in byte_texts(batch)]
-            own = nearest(middle, np.array([letters(x) for x in texts])).tolist()
+            rows, texts = batch.column(0).to_pylist(), [words_of(x) for x in byte_texts(batch)]
+            sums, owner, gram, times = _looked_up(texts, held, depth)
             summary, others = [], []
-            for row, doc_id, held, words, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), texts, own, strict=True):
+            for row, doc_id, out, words, log_p in zip(rows, batch.column(1).to_pylist(), batch.column(3).to_pylist(), texts, sums.tolist(), strict=True):
                 found = np.fromiter(map(place.get, words, repeat(-1)), np.int64, len(words))
                 rare = Counter(map(words.__getitem__, np.flatnonzero(found < 0).tolist()))
                 found = found[found >= 0]
-                summary.append((row, doc_id, held, len(words) + 1, int(is_known[found].sum()) + (n_ends > 0), float(base[found].sum()) + float(np.log10(n_ends + 0.1)), float(score[found, k].sum()) + float(first[k]), b" %d" % row, k, 0))
-                others += [(row, w, k, n) for w, n in rare.items()]
+                n_bytes = sum(map(len, words)) + max(len(words), 1)
+                summary.append((row, doc_id, out, len(words) + 1, n_bytes, int(is_known[found].sum()) + end_known, float(base[found].sum()) + end_base, log_p, b" %d" % row, 0))
+                others += [(row, w, n) for w, n in rare.items()]
+            others += [(rows[k], END + int(g).to_bytes(8, "big"), n) for k, g, n in zip(owner.tolist(), gram.tolist(), times.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*summary, strict=True), _TYPES, strict=True)], names)
-            if others:
-                row, word, kind, n = zip(*others, strict=True)
-                given = {"row": pa.array(row, pa.int64()), "word": pa.array(word, pa.binary()), "class": pa.array(kind, pa.int32()), "n": pa.array(n, pa.int64())}
+            for a in range(0, len(others), 1 << 16):
+                row, key, n = zip(*others[a : a + (1 << 16)], strict=True)
+                given = {"row": pa.array(row, pa.int64()), "key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int64())}
                 yield pa.RecordBatch.from_arrays([given.get(c, pa.nulls(len(row), t)) for c, t in zip(names, _TYPES, strict=True)], names)
+        release()
 
     return docs.select("row", "doc_id", "text", "held_out").mapInArrow(run, _PARTIAL)
 
 
-def commonest(scored: DataFrame, at_most: int) -> DataFrame:
-    """The words that occur as often as some threshold, the least for which they are no more than at_most.
-
-    The threshold comes from a histogram of occurrences, exact up to 1024 and with 64 steps for each doubling above; no sort and no single task is needed.
-    """
-    exact = 1024
-    step = F.when(F.col("total") < exact, F.col("total")).otherwise(exact + F.floor(64 * F.log2(F.col("total") / float(exact)))).cast("bigint")
-    sizes = sorted(((r["step"], r["n"]) for r in scored.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
-    least, held = sizes[0][0] + 1 if sizes else 0, 0
-    for at, n in sizes:
-        if held + n > at_most:
-            break
-        least, held = at, held + n
-    return scored.where(step >= least)
+def _share(value: Column) -> Column:
+    return F.coalesce(F.col("n") * value, F.lit(0.0))
 
 
-def score(docs: DataFrame, held_out_of: int = 10, depth: int = DEPTH, classes: int = CLASSES, max_grams: int = MAX_GRAMS, common_words: int = COMMON_WORDS, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 of the text's probability) for each row of docs.
+def score(docs: DataFrame, held_out_of: int = 10, depth: int = DEPTH, common_words: int = COMMON_WORDS, common_grams: int = COMMON_GRAMS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability) and bits_per_byte for each row of docs.
 
     Documents whose crc32(doc_id as text) mod held_out_of is 0 are held out; the model learns from all others. Null ids count as training. Null and empty
     texts are an end alone. Without training documents every count is zero and the trees give each bit 1/2. Repeated rows are learned from and
-    scored as often as they occur; other columns don't matter. Runs jobs: the vocabulary is written once with counts and once with scores.
+    scored as often as they occur; an empty table gives no rows; other columns don't matter. Bytes are those of the words, the spaces between and the end.
+    depth is from 3 to 6, and the same for every corpus; common_words and common_grams change what is joined, not the scores. Texts are read three times: for
+    words, for grams, for scores. Runs jobs: words and grams are written once with counts, grams once with probabilities.
     """
+    if not _TOP < depth <= 6:
+        raise ValueError("contexts have three to six bytes")
     held = F.coalesce(crc32_of_id(F.col("doc_id")) % held_out_of == 0, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", held)
-    centres = fit_classes(docs, classes, sample_rows)
-    counted = cut(count_words(docs, centres))
-    sums = counted.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("n"), F.count_if(F.col("trained") > 0).alias("v")).first()
-    n, v = sums["n"], sums["v"]
-    last = counted.where(F.col("word") == F.lit(END)).first()
-    ends = [last[f"n{k}"] if last else 0 for k in range(len(centres))]
-    n_ends, vocabulary = sum(ends), counted.where(F.col("word") != F.lit(END))
-    gram, log_p, at = train_trees(vocabulary, ends, depth, max_grams)
-    scored = cut(score_words(vocabulary, gram, log_p, at))
-    top = commonest(scored, common_words).toArrow()
+    words = cut(count_words(docs))
+    totals = words.agg(F.coalesce(F.sum("trained"), F.lit(0)).alias("n"), F.count_if(F.col("trained") > 0).alias("v")).first()
+    n, v = totals["n"], totals["v"]
+    last = words.where(F.col("word") == F.lit(END)).first()
+    n_ends, words = last["trained"] if last else 0, words.where(F.col("word") != F.lit(END))
+    grams = cut(train(cut(count_grams(docs, depth)), depth))
+    rows = commonest(grams, "n", common_grams).toArrow()
+    order = np.argsort(-rows.column(1).to_numpy(), kind="stable")
+    table = Table.of(rows.column(0).to_numpy().view(np.uint64)[order], rows.column(2).to_numpy()[order])
+    top = commonest(words, "total", common_words).select("word", "trained").toArrow()
     common = {w: k for k, w in enumerate(top.column(0).to_pylist())}
-    of_class = np.log((np.array(ends, np.float64) + 1.0) / (n_ends + len(ends)))
-    start = of_class + log_p[np.searchsorted(gram, np.uint64(end_gram(at)))]
-    flat = top.column(3).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(ends)) if len(common) else np.zeros((0, len(ends)))
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    partial = _partial_scores(numbered, centres, common, top.column(1).to_numpy().astype(np.float64), flat, n_ends, start)
-    joined = partial.join(scored.select("word", "trained", F.col("log_p").alias("word_log_p")), "word", "left")
-    share = lambda c: F.coalesce(F.col("n") * c, F.lit(0.0))
-    summed = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
+    partial = _partial_scores(numbered, depth, table, common, top.column(1).to_numpy().astype(np.float64), n_ends)
+    gram_key = F.concat(F.lit(END), F.unhex(F.lpad(F.hex("gram"), 16, "0")))
+    values = words.select(F.col("word").alias("key"), "trained", F.lit(None).cast("float").alias("gram_p")).unionByName(grams.select(gram_key.alias("key"), F.lit(None).cast("bigint").alias("trained"), F.col("log_p").alias("gram_p")))
+    joined = partial.join(values, "key", "left")
+    sums = joined.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.max("n_bytes").alias("n_bytes"),
         F.sum(F.coalesce("known", F.when(F.col("trained") > 0, F.col("n")), F.lit(0))).cast("bigint").alias("n_known"),
-        F.sum(F.coalesce("base", share(F.log10(F.col("trained") + 0.1)))).alias("base"),
-        F.sum(F.coalesce("log_p", share(F.get("word_log_p", F.col("class"))))).alias("log_p"),
+        F.sum(F.coalesce("base", _share(F.log10(F.col("trained") + 0.1)))).alias("base"),
+        F.sum(F.coalesce("log_p", _share(F.col("gram_p").cast("double")))).alias("log_p"),
     )
     norm = float(np.log10(n + 0.1 * (v + 1)))
-    return summed.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), (F.col("log_p") / LN10).alias("score"))
+    return sums.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"),
+        (F.col("log_p") / LN10).alias("score"), (-F.col("log_p") / LN2 / F.col("n_bytes")).alias("bits_per_byte"),
+    )
