@@ -2,8 +2,6 @@ import hashlib
 import random
 from collections import defaultdict
 
-import pytest
-
 from tickloom.llm import chat as c
 
 
@@ -56,5 +54,18 @@ def test_events_fold_into_final_messages(spark):
     assert parts[1].formatted == '<turn role="user">hello</turn>\n<turn role="assistant">Good day</turn>\n'
     assert [parts[1].formatted[s.start : s.end] for s in parts[1].loss] == ["Good day"]
     assert parts[2].formatted == '<turn role="assistant"></turn>\n'
-    with pytest.raises(ValueError):
-        c.fold(iter([("shout", None, "x")]))
+    assert c.fold(iter([("shout", "user", "x")])) is None and c.fold(iter([("delta", "user", "a"), (None, "x", "b"), ("delta", None, "c")])) == ("user", "ac")
+
+
+def test_bad_events_are_counted_and_passed_over(spark):
+    """Unknown and null types, null conversations and messages, ties and repeated events."""
+    log = [(1, 1, 0, "message", "user", "hi"), (1, 1, 1, "shout", "x", "!"), (1, 1, 1, None, None, "?"), (1, 1, 1, None, None, "?"), (None, None, 0, "delta", "user", "a"), (None, None, 0, "delta", "user", "a"), (None, None, 0, "delta", "user", "b"), (3, 1, 0, "delete", None, None)]
+    events = spark.createDataFrame([(*r, 1) for r in log], c.EVENTS + ", position int")
+    assert sorted((r.type or "", r.n) for r in c.rejected(events).collect()) == [("", 2), ("shout", 1)]
+    assert {r.conv_id: r.formatted for r in c.join_turns(c.format_turns(events)).collect()} == {1: '<turn role="user">hi</turn>\n', None: '<turn role="user">aab</turn>\n'}
+    assert c.join_turns(c.format_turns(events.limit(0))).count() == 0 and c.rejected(events.limit(0)).count() == 0
+
+
+def test_log_holds_every_type_of_event(spark):
+    kinds = {r.type for r in c.log_of(c.control_turns(spark)).collect()}
+    assert kinds == set(c.EVENT_TYPES)

@@ -18,9 +18,11 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickloom.llm.common import limit_batches
+
 #: Code points after which a conversation's output goes on in a further part.
 PART_CHARS = 1 << 20
 TRAINED_ROLE = "assistant"
@@ -76,15 +78,15 @@ def parse(formatted: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 def fold(events: Iterator[tuple[str, str | None, str | None]]) -> tuple[str, str] | None:
-    """The final (role, text) of one message's events (type, role, text), in order; None if it ends deleted."""
+    """The final (role, text) of one message's events (type, role, text), in order; None if it ends deleted. Events of no EVENT_TYPES don't count."""
     role, parts, alive = "", [], False
     for kind, said_by, text in events:
+        if kind not in EVENT_TYPES:
+            continue
         role = said_by if said_by is not None else role
         if kind == "delete":
             parts, alive = [], False
             continue
-        if kind not in EVENT_TYPES:
-            raise ValueError(f"unknown event type {kind!r}")
         alive = True
         if kind != "delta":
             parts = []
@@ -116,11 +118,22 @@ _PARTS = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("last", pa.b
 _DIGEST = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
+def _known() -> Column:
+    return F.coalesce(F.col("type").isin(*EVENT_TYPES), F.lit(False))
+
+
+def rejected(events: DataFrame) -> DataFrame:
+    """(conv_id, type, n): how many events of each conversation format_turns passes over, by their type. None for an empty table."""
+    return events.where(~_known()).groupBy("conv_id", "type").agg(F.count("*").alias("n"))
+
+
 def format_turns(events: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFrame:
     """TURNS: the rendered final messages of EVENTS.
 
     Null texts are empty and null roles leave a message's role as it was (empty at first). Events of a message are ordered by seq, then type and
-    text; a delta without a message begins one. A deleted message gives no row, nor does an empty table.
+    text; a delta without a message begins one; a repeated event counts as often as it occurs. Null conversations, and null messages of one, are one
+    each. Events whose type is null or none of EVENT_TYPES don't count: see rejected(). A deleted message gives no row, nor does an empty table. Texts may be
+    of any length; other columns of events are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +148,8 @@ def format_turns(events: DataFrame, trained_role: str = TRAINED_ROLE) -> DataFra
 
         yield from _batched(turns(), _TURNS, PART_CHARS, 4)
 
-    wanted = events.select(*[F.col(c) for c in ("conv_id", "message", "seq", "type", "role", "text")])
+    limit_batches(events.sparkSession)
+    wanted = events.where(_known()).select(*[F.col(c) for c in ("conv_id", "message", "seq", "type", "role", "text")])
     dealt = wanted.repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "type", "text")
     return dealt.mapInArrow(run, TURNS)
 
@@ -200,21 +214,26 @@ CONTROL_TEXT = r"\### Assistant: </turn> ok"
 
 
 def log_of(conversations: DataFrame) -> DataFrame:
-    """EVENTS of a table of finished turns (conv_id, turn, role, text): one message each, in the order of turn. Repeated rows are messages of their own."""
-    return conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"), F.monotonically_increasing_id().alias("message"), F.col("turn").cast("bigint").alias("seq"),
-        F.lit("message").alias("type"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
-    )
+    """EVENTS that lead to a table of finished turns (conv_id, turn, role, text), in the order of turn, as a session would have logged them.
+
+    Of each turn: a draft, its regeneration, a first delta with a slip, the edit that mends it, a delta with the rest, and a second message that is
+    deleted. Repeated rows are messages of their own; null roles and texts are empty.
+    """
+    turn, text = F.col("turn").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    start, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
+    numbered = conversations.withColumn("_row", F.monotonically_increasing_id())
+    steps = (("message", F.lit("a draft"), 0), ("regenerate", None, 0), ("delta", F.concat(start, F.lit(" \\<turn slip")), 0), ("edit", start, 0), ("delta", rest, 0), ("message", F.lit("withdrawn"), 1), ("delete", None, 1))
+    events = [F.struct(F.lit(k).cast("bigint").alias("k"), F.lit(other).alias("other"), F.lit(kind).alias("type"), (F.lit(None).cast("string") if said is None else said).alias("text")) for k, (kind, said, other) in enumerate(steps)]
+    dealt = numbered.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("_row").alias("row"), turn.alias("turn"), F.col("role").cast("string").alias("role"), F.explode(F.array(*events)).alias("e"))
+    return dealt.select("conv_id", (2 * F.col("row") + F.col("e.other")).alias("message"), (len(steps) * F.col("turn") + F.col("e.k")).alias("seq"), "e.type", F.when(F.col("e.k").isin(0, 5), F.col("role")).alias("role"), "e.text")
 
 
-def control_log(spark: SparkSession) -> DataFrame:
-    text = F.lit(CONTROL_TEXT)
-    return spark.range(2).select(
-        F.lit(CONTROL_ID).cast("bigint").alias("conv_id"), (F.col("id") - 2).alias("message"), F.col("id").alias("seq"), F.lit("message").alias("type"),
-        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), text.alias("text"),
-    )
+def control_turns(spark: SparkSession) -> DataFrame:
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    return spark.range(2).select(F.lit(CONTROL_ID).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(CONTROL_TEXT).alias("text"))
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    events = log_of(conversations).unionByName(control_log(conversations.sparkSession))
-    return read_back(join_turns(format_turns(events)))
+    turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return read_back(join_turns(format_turns(log_of(turns.unionByName(control_turns(conversations.sparkSession))))))
