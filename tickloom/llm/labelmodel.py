@@ -21,21 +21,27 @@ class LabelModel:
         return 1 / (1 + np.exp(np.clip(like[:, 0] - like[:, 1], -700, 700)))
 
 
-#: What a rule is taken to be before data speak: it rarely blames a good document, and finds two of five bad ones.
-_RIGHT_ON_GOOD, _RIGHT_ON_BAD = 0.97, 0.4
-#: Weight of that belief against the rows, by class.
-_BELIEF_GOOD, _BELIEF_BAD = 1.0, 0.02
+@dataclass(frozen=True)
+class Belief:
+    """What is taken to hold before data speak: the share of good rows, how often a vote is right by class (of all rules, or of each), and how many rows of each
+    class that is worth. learn_prior: whether the share is estimated too; rows of a few patterns can't tell it from the accuracies."""
+
+    prior: float
+    right_on_good: float | tuple[float, ...]
+    right_on_bad: float | tuple[float, ...]
+    rows: float = 50.0
+    learn_prior: bool = True
 
 
-def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
+def fit(votes: np.ndarray, counts: np.ndarray, belief: Belief, rounds: int = 500) -> LabelModel:
     """Expectation-maximisation on vote patterns (votes: 0, 1, or 2 for abstain) and how many rows have each.
 
-    Beta priors keep the classes' meaning: a bad document breaks a few rules, a good one hardly any. Abstaining has the same
+    Beta priors of belief.rows rows, the same for every number of data, keep the classes' meaning. Abstaining has the same
     probability in both classes. Without rows the starting model is returned.
     """
-    n_rules, total = votes.shape[1], float(max(counts.sum(), 1))
-    prior, accuracy = 0.8, np.tile([_RIGHT_ON_BAD, _RIGHT_ON_GOOD], (n_rules, 1))  # P(the vote is right | class, voted)
-    belief = (_BELIEF_BAD * total, _BELIEF_GOOD * total)
+    n_rules, total = votes.shape[1], float(counts.sum())
+    start = np.stack([np.broadcast_to(x, n_rules) for x in (belief.right_on_bad, belief.right_on_good)], axis=1).astype(float)
+    prior, accuracy = belief.prior, start.copy()  # P(the vote is right | class, voted)
     abstain = np.array([(counts[votes[:, r] == 2].sum() + 1) / (total + 2) for r in range(n_rules)])
 
     def model() -> LabelModel:
@@ -50,10 +56,11 @@ def fit(votes: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
         good = model().posterior(votes)
         weight = ((1 - good) * counts, good * counts)
         before = accuracy.copy()
-        prior = float((weight[1].sum() + 1) / (total + 2))
+        if belief.learn_prior:
+            prior = float((weight[1].sum() + 2 * belief.prior) / (total + 2))
         for r, c in itertools.product(range(n_rules), range(2)):
             right, wrong = weight[c][votes[:, r] == c].sum(), weight[c][votes[:, r] == 1 - c].sum()
-            accuracy[r, c] = (right + (_RIGHT_ON_BAD, _RIGHT_ON_GOOD)[c] * belief[c]) / (right + wrong + belief[c])
+            accuracy[r, c] = (right + start[r, c] * belief.rows) / (right + wrong + belief.rows)
         if np.abs(accuracy - before).max() < 1e-7:
             break
     return model()
