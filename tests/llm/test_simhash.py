@@ -72,6 +72,20 @@ def test_matches_brute_force(spark):
     assert sorted(r.doc_id for r in kept) == sorted(set(expected.values()))
 
 
+def test_deduplicate_loses_no_component(spark):
+    """Ids with several texts, null ids, repeated rows and clashing columns."""
+    rng = random.Random(7)
+    a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (7, b), (7, b), (None, c), (None, c), (9, d), (9, d), (None, None), (11, "")]
+    got = s.deduplicate(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int"))
+    kept = sorted((r.doc_id or 0, r.text or "") for r in got.collect())
+    # One row of each component, which brute force finds among the distinct texts.
+    texts = sorted({t or "" for _, t in rows})
+    parts = brute({k: plain(t) for k, t in enumerate(texts)})
+    assert kept == sorted([(5, a), (5, b), (0, c), (9, d), (11, "")]) and len(kept) == len(set(parts.values()))
+    assert got.columns == ["doc_id", "text", "fp"] and got.where("fp = 1").count() == len(kept)
+
+
 def test_empty_table(spark):
     assert s.group(spark.createDataFrame([], "doc_id long, text string, fp string")).count() == 0
 

@@ -116,3 +116,36 @@ def mapped(df: DataFrame, chunk: Callable[[pa.RecordBatch], pa.RecordBatch | Non
 def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Number of partitions that keeps tasks at about rows_per_task rows, and uses the session's parallelism."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_task), 1)
+
+
+#: Rows to drop up to which their keys are broadcast: 16 MB.
+BROADCAST_ROWS = 500_000
+
+
+def text_key(text: Column) -> Column:
+    """A hash that tells rows of one id apart by their text; null is empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def keep_one(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """Of docs (doc_id, text and any other columns) one row of each group. grouped: (doc_id, fp, root) for each row, fp as text_key gives it.
+
+    A document is an id with a text, so rows that share an id and differ in their texts are apart. The smallest doc_id stays; null ids come last; among texts
+    of one id any may stay, the same one in every run; of rows that repeat id and text one stays. All columns of docs stay, whatever their names.
+    """
+    names, held = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*held)
+    keyed = renamed.withColumns({"_id": F.col(held[names.index("doc_id")]).cast("bigint"), "_fp": text_key(F.col(held[names.index("text")]))})
+    grouped = cut(grouped)
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "fp")).alias("best"))
+    kept = best.select(F.col("best.doc_id").alias("_id"), F.col("best.fp").alias("_fp"), F.lit(True).alias("_kept"))
+    rows = grouped.groupBy(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp")).agg(F.count("*").alias("_n"))
+    same = F.col("l._id").eqNullSafe(F.col("r._id")) & (F.col("l._fp") == F.col("r._fp"))
+    # What goes, or repeats: the rest of docs is passed through.
+    odd = cut(rows.alias("l").join(kept.alias("r"), same, "left").select("l._id", "l._fp", F.coalesce("_kept", F.lit(False)).alias("_kept"), (F.col("_n") > 1).alias("_repeated")).where("not _kept or _repeated"))
+    n = odd.agg(F.count("*").alias("rows"), F.count_if("_kept").alias("repeated")).first()
+    small = F.broadcast(odd) if n["rows"] <= BROADCAST_ROWS else odd
+    joined = keyed.alias("l").join(small.alias("r"), same, "left").where("_kept is null or _kept").select("l.*", "r._repeated")
+    if n["repeated"]:
+        joined = joined.where("_repeated is null").unionByName(joined.where("_repeated").dropDuplicates(["_id", "_fp"]))
+    return joined.select(*held).toDF(*names)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import as_texts, byte_texts, cut, mapped
+from tickloom.llm.common import byte_texts, cut, keep_one, mapped, text_key
 from tickloom.llm.components import components
 
 SEGMENTS = (22, 21, 21)
@@ -52,14 +52,20 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp bigint holding the 64 bits) for each row; null and empty texts give zero."""
+def _prints(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, fp bigint holding the 64 bits) for each row; null and empty texts give zero. key tells rows of one id apart by their text."""
 
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = np.array([fingerprint(x) for x in byte_texts(batch)], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(got)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got)], ["doc_id", "key", "fp"])
+
+    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
+    return mapped(keyed, chunk, "doc_id bigint, key bigint, fp bigint")
+
 
-    return mapped(as_texts(docs), chunk, "doc_id bigint, fp bigint")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp bigint holding the 64 bits) for each row; null and empty texts give zero."""
+    return _prints(docs).select("doc_id", "fp")
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -137,16 +143,22 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _roots(fps: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, root) of distinct fps: equal roots for those reachable over links."""
+    found = components(links(fps, max_distance))
+    return fps.join(found, fps["fp"] == found["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def group(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs: component_id is the smallest doc_id reachable over links.
 
-    Null, empty and blank texts share the fingerprint zero. A repeated doc_id keeps a row for each of its rows. An empty table
-    gives no rows. Runs jobs: the fingerprints are written once, and the components take a few rounds.
+    Null, empty and blank texts share the fingerprint zero. A repeated doc_id keeps a row for each of its rows. Null ids are no component_id unless there
+    is no other. An empty table gives no rows. Texts of any length are read whole; other columns are not read. Runs jobs: the fingerprints are
+    written once, and the components take a few rounds.
     """
     prints = cut(fingerprints(docs))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found = components(links(nodes.select("fp"), max_distance))  # (node, root) of the linked fingerprints
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    named = nodes.join(_roots(nodes.select("fp"), max_distance), "fp")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = named.join(least, "root").select("fp", "component_id")
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
@@ -158,7 +170,6 @@ def digest(grouped: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """docs, but of each component only the rows of its smallest doc_id; of several such rows, one. All columns of docs stay."""
-    keep = group(docs, max_distance).where("doc_id = component_id").select(F.col("component_id").alias("_kept_id")).distinct()
-    held = docs.join(keep, docs["doc_id"].cast("bigint") == keep["_kept_id"], "left_semi")
-    return held.dropDuplicates(["doc_id"])
+    """docs, but of each component one row: that of the smallest doc_id; see keep_one. All columns of docs stay."""
+    prints = cut(_prints(docs))
+    return keep_one(docs, prints.join(_roots(prints.select("fp").distinct(), max_distance), "fp").select("doc_id", F.col("key").alias("fp"), "root"))
