@@ -74,6 +74,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets Spark remove what loops have left: shuffles, broadcasts and checkpoints go when the driver's garbage is collected, which a small heap puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", rows: int = CHUNK_ROWS, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of record batches, of so many rows and about so many bytes of text at most (one row at least)."""
     for batch in batches:

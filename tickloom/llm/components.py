@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import cut
+from tickloom.llm.common import cut, forget
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -39,5 +39,6 @@ def components(pairs: DataFrame, max_rounds: int = 60) -> DataFrame:
         stamp = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    forget(edges.sparkSession)
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
