@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tickloom.bounds import Bounds
 from tickloom.functions.scalar import clip, epoch_to_time, keep_finite, side_sign
 from tickloom.operators import trades as tr
 from tickloom.operators import windows as w
@@ -35,8 +36,8 @@ def at(df, length, label):
 
 def test_windows_of_the_micro_fixture(spark):
     trades = tr.prepared(ticks(spark, MICRO))
-    for warmup in ("partial", "drop"):
-        rows = w.sampled(trades, HALF, [1, 2], BASE, BASE + 2_000_000, warmup).collect()
+    for warmup, steps in (("partial", 172_800), ("drop", 172_800), ("partial", 2), ("drop", 2)):
+        rows = w.sampled(trades, HALF, [1, 2], BASE + HALF, BASE + 2_000_000 + HALF, warmup, chunk_steps=steps).collect()
         assert len(rows) == 8
         a = at(rows, 1, 0.5)
         assert (a.asset_return, a.asset_hold_time, a.slippage_imbalance, a.share_of_long_trades, a.close_price) == (0, None, 1, 0.5, 12)
@@ -62,7 +63,8 @@ def random_trades(spark, seed, n=400):
 @pytest.mark.parametrize("length", [1, 2, 4, 10, 60])
 def test_ladder_equals_copies(spark, length):
     trades = random_trades(spark, length).cache()
-    ladder = w.overlapping(trades, HALF, [1, 2, 4, 10, 60], w.grid(trades, BASE - HALF, BASE + 150_000_000, HALF)).select("b", F.col(f"w{length}").alias("p")).where("p.n > 0")
+    dense = w.grid(trades, BASE, BASE + 150_500_000, HALF)
+    ladder = w.overlapping(trades, HALF, [1, 2, 4, 10, 60], dense, chunk_steps=70).select("b", F.col(f"w{length}").alias("p")).where("p.n > 0")
     naive = w.naive_overlapping(trades, HALF, length).select("b", F.col(f"w{length}").alias("p"))
     fields = lambda df: {r.b: (r.p.n, r.p.quote_abs, r.p.quote_sign, r.p.longs, r.p.min_q, r.p.max_q, r.p.first_prev, r.p.first_prev_us, r.p.last_price, r.p.last_us, round(r.p.ln_q, 9)) for r in df.collect()}
     assert fields(ladder) == fields(naive)
@@ -95,3 +97,34 @@ def test_compat_returns_and_edges(spark):
     row = w.with_edges(w.finalize(w.bucketed(trades, HALF), "p", HALF, HALF, compat=True), HALF).where("asset_hold_time > 1").first()
     assert math.isclose(row.asset_return, -2085.070892, abs_tol=1e-5) and math.isclose(row.asset_return_adj, -869.504125, abs_tol=1e-5)
     assert (row.window_start, row.window_end) == (DAY + timedelta(seconds=1.5), DAY + timedelta(seconds=2))
+
+
+def test_grid_of_a_day_has_every_label_from_midnight(spark):
+    keys = spark.createDataFrame([("X", "A")], "exchange string, symbol string")
+    day = w.grid_of(keys, Bounds.for_day(DAY.date()), HALF)
+    ends = day.agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi")).first()
+    assert ends.n == 172_800 and ends.lo * HALF == BASE and (ends.hi + 1) * HALF == BASE + 86_400_000_000
+
+
+def test_deviation_of_large_prices_keeps_its_digits(spark):
+    rows = [(k, 100 * k, 60_000_000 + 0.25 * (k % 3), 1, False) for k in range(40)]
+    out = w.finalize(w.overlapping(tr.prepared(ticks(spark, rows)), HALF, [4]), "w4", HALF, 4 * HALF, ("sigma", "num_trades"))
+    for r in out.where("num_trades = 20").collect():
+        last = (r.b * HALF - BASE) // 100_000
+        prices = [0.25 * (k % 3) for k in range(last - 19, last + 1)]
+        mean = sum(prices) / 20
+        assert math.isclose(r.sigma, math.sqrt(sum((p - mean) ** 2 for p in prices) / 19), rel_tol=1e-6)
+
+
+def test_previous_trade_across_days(spark):
+    data = [("X", "A", (DAY + timedelta(days=d)).date(), 10 * d + k, DAY + timedelta(days=d, hours=k), float(10 * d + k), 1.0, False) for d in (0, 1, 4) for k in (1, 2)]
+    trades = tr.aggregate(tr.enrich(spark.createDataFrame(data, "exchange string, symbol string, date date, trade_id long, trade_time timestamp_ntz, price double, quantity double, is_buyer_maker boolean")))
+    assert [r.price_last_prev for r in tr.previous(trades).orderBy("trade_time").collect()] == [None, 1.0, 2.0, 11.0, 12.0, 41.0]
+    assert [r.price_last_prev for r in tr.previous(trades, "day").orderBy("trade_time").collect()] == [None, 1.0, None, 11.0, None, 41.0]
+
+
+def test_windows_hash_and_chunk(spark):
+    """No sort-based aggregation of trades, and no window over a whole series."""
+    trades = tr.prepared(ticks(spark, MICRO))
+    plan = w.sampled(trades, HALF, [1, 4], BASE, BASE + 10_000_000)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import crosssection as cs
-from tickloom.operators import model, panel
+from tickloom.operators import chunks, model, panel
 from tickloom.schema import VENUES, WINDOWS_MS, FeatureFilter, FeatureSet, Pair, feature_name, window_slug
 
 
@@ -52,7 +52,7 @@ def test_usable_ignores_categories_and_lead_needs_steps(spark):
     df = spark.createDataFrame([(1.0, None, 3), (1.0, 2.0, 3), (None, 2.0, 3)], "y double, x double, c int")
     assert panel.usable(df, "y", ["x", "c"], ("c",)).count() == 1
     with pytest.raises(ValueError):
-        panel.lead_by(df, "x", 0)
+        panel.lead_by(df, "x", 0, "y")
 
 
 def test_average_rank_and_strategy(spark):
@@ -73,7 +73,7 @@ def test_boosting_finds_the_informative_feature(spark):
     rng = random.Random(3)
     rows = [(rng.gauss(0, 1), rng.gauss(0, 1), rng.choice([None, 1.0])) for _ in range(400)]
     df = spark.createDataFrame([(a, b, c, 3 * a, "z") for a, b, c in rows], "`x-1@V` double, b double, c double, y double, currency string")
-    fitted, best = model.select_and_refit(df, ["x-1@V", "b", "c"], "y", 1, model.Boosting(trees=5, rate=0.3))
+    fitted, best, _ = model.select_and_refit(df, ["x-1@V", "b", "c"], "y", 1, model.Boosting(trees=5, rate=0.3))
     assert best == ["x-1@V"]
     assert {r.currency: r.R2 > 0.5 for r in model.evaluate(fitted, df, best, "y", "currency").collect()} == {"ALL": True, "z": True}
 
@@ -103,3 +103,62 @@ def test_splits_overrides_and_saved_models(spark, tmp_path):
     fitted = model.fit(data, ["x"], "y", model.Boosting(trees=2))
     model.save(fitted, str(tmp_path / "m"))
     assert model.predict(model.load(str(tmp_path / "m")), data, ["x"]).count() == 30
+
+
+def test_categories_are_split_as_sets(spark):
+    """A target that depends on a category's membership, not its order."""
+    rng = random.Random(4)
+    rows = [(k, "abcdefgh"[k % 8], rng.gauss(0, 1)) for k in range(400)]
+    df = spark.createDataFrame([(c, x, 5.0 if c in "adg" else -5.0) for _, c, x in rows], "c string, x double, y double")
+    fitted = model.fit(df, ["c", "x"], "y", model.Boosting(depth=1, trees=1, rate=1.0), categorical=("c",))
+    got = model.predict(fitted, df.unionByName(spark.createDataFrame([("new", 0.0, 0.0)], df.schema)), ["c", "x"], ("c",)).collect()
+    assert all(abs(r.prediction - r.y) < 1e-9 for r in got if r.c != "new") and len(got) == 401
+    forest = model.fit(df, ["c", "x"], "y", model.Forest(trees=5), categorical=("c",))
+    assert model.evaluate(forest, df.withColumn("g", F.lit("z")), ["c", "x"], "y", "g", ("c",)).where("g = 'ALL'").first().R2 > 0.9
+
+
+def test_boosting_stops_early(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(rng.gauss(0, 1), rng.gauss(0, 1), k % 4 == 0) for k in range(300)], "x double, y double, late boolean")
+    assert model.fit(df, ["x"], "y", model.Boosting(trees=60, rate=0.5), "late").stages[-1].getNumTrees < 60
+
+
+def test_sweep_ranks_fits_and_writes_each_horizon(spark, tmp_path):
+    rng = random.Random(5)
+    rows, price = [], 100.0
+    for b in range(300):
+        push = rng.gauss(0, 1)
+        rows.append(("X", "A", b, price, push, rng.gauss(0, 1)))
+        price *= 1 + push / 100
+    grid = spark.createDataFrame(rows, "exchange string, symbol string, b long, close_price double, push double, noise double")
+    split = lambda df: panel.chronological_split(df, 0.7, 0.1, 0.2, ("exchange", "symbol"), ("b",))
+    found, ranks = model.sweep(grid, ["push", "noise"], [1, 2], "symbol", split, model.Boosting(depth=3, trees=20, rate=0.3), 1, root=str(tmp_path))
+    scores = {(r.horizon, r.symbol): r for r in found.collect()}
+    assert set(scores) == {(h, s) for h in (1, 2) for s in ("A", "ALL")} and scores[1, "ALL"].R2 > 0.8 > scores[2, "ALL"].R2
+    assert {(r.horizon, r.feature) for r in ranks.collect()} == {(h, f) for h in (1, 2) for f in ("push", "noise")}
+    assert spark.read.option("header", True).csv(f"{tmp_path}/importances-1").orderBy(F.desc("importance")).first().feature == "push"
+
+
+def test_shifts_and_splits_by_chunk_equal_those_of_whole_series(spark):
+    rng = random.Random(6)
+    rows = [(e, s, b, float(rng.randint(1, 99)) if rng.random() < 0.6 else None) for e in "XY" for s in "AB" for b in range(-7, 60)]
+    df = spark.createDataFrame(rows, "exchange string, symbol string, b long, v double")
+    value = {r[:3]: r[3] for r in rows}
+    for size in (5, 16, 1000):
+        for n in (3, -4):
+            got = chunks.shifted(df, ("exchange", "symbol"), "v", "out", n, size).collect()
+            assert len(got) == len(rows) and all(r.out == value.get((r.exchange, r.symbol, r.b + n)) for r in got)
+        for r in chunks.filled(df, ("exchange", "symbol"), "v", "out", size).collect():
+            seen = [value[r.exchange, r.symbol, b] for b in range(-7, r.b + 1) if value[r.exchange, r.symbol, b] is not None]
+            assert r.out == (seen[-1] if seen else None)
+        ranked = chunks.ranked(df, ("exchange", "symbol"), ("b",), chunks.floor_div(F.col("b"), size)).collect()
+        assert all(r._rank == r.b + 7 and r._count == 67 for r in ranked) and len(ranked) == len(rows)
+
+
+def test_hold_times_for_evaluation(spark):
+    rows = [("V", "A", 1, 500, 1.0, 0.25), ("W", "A", 1, 500, 2.0, 0.5)]
+    long = spark.createDataFrame(rows, "exchange string, symbol string, sampled_time long, window_ms long, asset_return double, asset_hold_time double")
+    long = long.withColumns({c: F.lit(0.0) for c in ("flow_imbalance", "powerlaw_alpha", "slippage_imbalance", "share_of_long_trades")})
+    ids = spark.createDataFrame([("A", 0)], "symbol string, currency_index int")
+    out = panel.build_panel(long, {}, (500,), ("V", "W"), "V", ids, evaluation=True).first()
+    assert out["SELF-asset_hold_time-500MS@V"] == 0.25 and out["SELF-exchange_diff-500MS@V-W"] == -1.0

@@ -46,18 +46,53 @@ def test_futures_header_and_sided_files(spark, tmp_path):
     assert i.normalise(i.read_csvs(spark, f"{tmp_path}/p/*/*.csv", "spot"), "spot", "S").first().symbol == "X-Y"
 
 
+def sided_zip(path, rows):
+    write_zip(path, "instrument,id,side,size,price,time\n" + "".join(f"A-B,{k},SELL,2,0.5,{t}\n" for k, t in rows), "cp1252")
+
+
+def test_daily_runs_over_files_that_straddle_dates_lose_nothing(spark, tmp_path):
+    """Each file holds the last trades of the date before its own; runs of single days, and again, leave all of them once."""
+    first = 1740787200000  # 2025-03-01
+    for day in range(3):
+        at = first + day * 86_400_000
+        sided_zip(tmp_path / f"o/trades@2025-03-0{day + 1}.zip", [(10 * day + k, at + (k - 2) * 3_600_000) for k in range(5)])
+    for day in (1, 2, 3, 2):
+        i.ingest(spark, f"{tmp_path}/o/*.zip", str(tmp_path / "t"), "sided", "OKX", Bounds.for_day(date(2025, 3, day)))
+    rows = i.read_ticks(spark, str(tmp_path / "t")).collect()
+    assert sorted(r.trade_id for r in rows) == [10 * d + k for d in range(3) for k in range(5)]
+    assert all(r.date == r.trade_time.date() for r in rows)
+
+
+def test_a_day_opens_only_its_files(spark, tmp_path):
+    sided_zip(tmp_path / "o/trades@2025-03-01.zip", [(1, 1740787200000)])
+    (tmp_path / "o/trades@2025-03-02.zip").write_bytes(b"no zip")
+    day = Bounds.for_day(date(2025, 3, 1))
+    assert i.read_zips(spark, f"{tmp_path}/o/*.zip", "sided", day).count() == 1
+    i.ingest(spark, f"{tmp_path}/o/*.zip", str(tmp_path / "t"), "sided", "OKX", day)
+    assert i.read_ticks(spark, str(tmp_path / "t")).count() == 1
+    for name, text in (("2024-01-01", "1,0.5,2,1.0,1704067200000,True,True\n"), ("2024-01-02", "2,0.5,2,1.0,1704153600000,True,True\n")):
+        (tmp_path / "p/X-Y").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"p/X-Y/trades@{name}.csv").write_text(text)
+    got = i.normalise(i.read_csvs(spark, f"{tmp_path}/p/*/*.csv", "spot", Bounds.for_day(date(2024, 1, 2))), "spot", "S", Bounds.for_day(date(2024, 1, 2)))
+    assert [r.trade_id for r in got.collect()] == [2] and "is_best_match" not in got.columns
+
+
 def test_features_events_and_importances(spark, tmp_path):
-    rows = [("X", "A", datetime(2024, 1, d, h), 500, float(h)) for d in (1, 2) for h in range(3 if d == 1 else 2)]
+    rows = [("X", "A", datetime(2024, 1, d, h), 500, float(h)) for d in (1, 2) for h in range(24 if d == 1 else 23)]
     features = spark.createDataFrame(rows, "exchange string, symbol string, sampled_time timestamp_ntz, window_ms long, asset_return double")
     i.write_features(features, str(tmp_path / "features"))
     bounds = Bounds.for_days(date(2024, 1, 1), date(2024, 1, 3))
-    assert i.read_features(spark, str(tmp_path / "features"), bounds).count() == 5
-    assert i.read_features(spark, str(tmp_path / "features"), bounds, 3).count() == 3
+    assert i.read_features(spark, str(tmp_path / "features"), bounds).count() == 47
+    # The short day is missing as a whole, as is a day without a file.
+    wide = i.read_features(spark, str(tmp_path / "features"), Bounds.for_days(date(2024, 1, 1), date(2024, 1, 4)), 24).orderBy("sampled_time").collect()
+    assert [r.asset_return for r in wide] == [*map(float, range(24)), *[None] * 48] and wide[25].sampled_time == datetime(2024, 1, 2, 1)
     (tmp_path / "e.json").write_text(json.dumps([{"symbol": "ADA-BTC", "time": "2024-01-01 10:00:00", "exchange": "spot"}]))
     event = i.read_events(spark, str(tmp_path / "e.json")).first()
     assert (event.symbol, event.exchange, event.event_us) == ("ADA-BTC", "SPOT", 1704103200000000)
     i.write_table(spark.createDataFrame([("a", 1.0), ("b", 2.0)], "feature string, importance double"), str(tmp_path / "imp"), F.desc("importance"))
     assert [r.feature for r in i.read_importances(spark, str(tmp_path / "imp")).collect()] == ["b", "a"]
+    chosen = i.first_features(spark, str(tmp_path / "imp"), 1)
+    assert chosen.allows("b") and not chosen.allows("a")
 
 
 def test_cross_section_has_all_columns(spark, tmp_path):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import bps, safe_div
+from tickloom.operators import chunks
 from tickloom.operators.trades import KEYS
 from tickloom.schema import FeatureFilter, difference_name, feature_name
 
@@ -33,18 +34,22 @@ def panel_columns(prefix: str, statistics: tuple, windows_ms: tuple[int, ...], v
     return out
 
 
-def widen(long: DataFrame, keys: list[str], columns: list[tuple[str, str, int, str]]) -> DataFrame:
-    """One row per keys from rows per (keys, window_ms, exchange): a conditional aggregate for each column, one shuffle for all."""
+def widen(long: DataFrame, keys: list[str], columns: list[tuple[str, str, int, str]], more: list[Column] | None = None) -> DataFrame:
+    """One row per keys from rows per (keys, window_ms, exchange): a conditional aggregate for each column, one shuffle for all. more: further aggregates."""
     picked = [F.max(F.when((F.col("window_ms") == w) & (F.col("exchange") == v), F.col(s))).alias(name) for name, s, w, v in columns]
-    return long.groupBy(*keys).agg(*picked)
+    return long.groupBy(*keys).agg(*picked, *(more or []))
 
 
-def exchange_differences(long: DataFrame, target_venue: str, others: tuple[str, ...], windows_ms: tuple[int, ...], prefix: str = "SELF", allow: FeatureFilter | None = None) -> DataFrame:
-    """Return on the target venue less that on each other, by symbol and time."""
+def difference_columns(target_venue: str, others: tuple[str, ...], windows_ms: tuple[int, ...], prefix: str = "SELF", allow: FeatureFilter | None = None) -> list[Column]:
+    """Aggregates for the return on the target venue less that on each other."""
     allow = allow or FeatureFilter.all()
     value = lambda w, v: F.max(F.when((F.col("window_ms") == w) & (F.col("exchange") == v), F.col("asset_return")))
-    columns = [(value(w, target_venue) - value(w, o)).alias(n) for w in windows_ms for o in others if allow.allows(n := difference_name(prefix, w, target_venue, o))]
-    return long.groupBy("symbol", "sampled_time").agg(*columns)
+    return [(value(w, target_venue) - value(w, o)).alias(n) for w in windows_ms for o in others if allow.allows(n := difference_name(prefix, w, target_venue, o))]
+
+
+def exchange_differences(long: DataFrame, target_venue: str, others: tuple[str, ...], windows_ms: tuple[int, ...], prefix: str = "SELF", allow: FeatureFilter | None = None) -> DataFrame:
+    """Return on the target venue less that on each other, by symbol and time."""
+    return long.groupBy("symbol", "sampled_time").agg(*difference_columns(target_venue, others, windows_ms, prefix, allow))
 
 
 def with_market(panel: DataFrame, long: DataFrame, markets: dict[str, str], windows_ms: tuple[int, ...], venues: tuple[str, ...], target_venue: str, allow: FeatureFilter | None = None) -> DataFrame:
@@ -57,41 +62,47 @@ def with_market(panel: DataFrame, long: DataFrame, markets: dict[str, str], wind
     return out
 
 
+def hold_times(windows_ms: tuple[int, ...], target_venue: str, prefix: str = "SELF") -> list[tuple[str, str, int, str]]:
+    """Columns of the hold times on the target venue: for evaluation, not regressors."""
+    return [(feature_name(prefix, "asset_hold_time", w, target_venue), "asset_hold_time", w, target_venue) for w in windows_ms]
+
+
 def build_panel(
-    long: DataFrame, markets: dict[str, str], windows_ms: tuple[int, ...], venues: tuple[str, ...], target_venue: str, ids: DataFrame, allow: FeatureFilter | None = None, compat: bool = False
+    long: DataFrame, markets: dict[str, str], windows_ms: tuple[int, ...], venues: tuple[str, ...], target_venue: str, ids: DataFrame, allow: FeatureFilter | None = None, compat: bool = False, evaluation: bool = False
 ) -> DataFrame:
     """SELF, market and difference columns with the categorical currency_index of ids (symbol, currency_index).
 
-    compat repeats what older panels hold: slippage columns have the flow imbalance, and the SELF columns that market instruments lack have the last market's values.
+    evaluation adds the hold times on the target venue. compat repeats what older panels hold: slippage columns have the flow imbalance, and the SELF columns
+    that market instruments lack have the last market's values.
     """
     allow = allow or FeatureFilter.all()
     if compat:
         long = long.withColumn("slippage_imbalance", F.col("flow_imbalance"))
     columns = panel_columns("SELF", STATISTICS, windows_ms, venues, target_venue, allow)
     alone = [c for c in columns if not dict((s, m) for s, _, m in STATISTICS)[c[1]]] if compat else []
-    own = widen(long, ["symbol", "sampled_time"], [c for c in columns if c not in alone])
+    held = [c for c in columns if c not in alone] + (hold_times(windows_ms, target_venue) if evaluation else [])
     others = tuple(v for v in venues if v != target_venue)
-    differences = exchange_differences(long, target_venue, others, windows_ms, allow=allow)
     if compat:
         last = [*markets.values()][-1]
-        differences = differences.where(F.col("symbol") == last).drop("symbol").join(widen(long.where(F.col("symbol") == last), ["sampled_time"], alone), "sampled_time")
-        wide = own.join(differences, "sampled_time", "left")
+        of_last = long.where(F.col("symbol") == last)
+        wide = widen(long, ["symbol", "sampled_time"], held).join(widen(of_last, ["sampled_time"], alone, difference_columns(target_venue, others, windows_ms, allow=allow)), "sampled_time", "left")
     else:
-        wide = own.join(differences, ["symbol", "sampled_time"])
+        wide = widen(long, ["symbol", "sampled_time"], held, difference_columns(target_venue, others, windows_ms, allow=allow))
     wide = with_market(wide, long, markets, windows_ms, venues, target_venue, allow)
     return wide.join(ids.select("symbol", F.col("currency_index").cast("int").alias("currency_index")), "symbol")
 
 
-def lead_by(df: DataFrame, column: str, steps: int) -> Column:
-    """The value `steps` grid rows ahead (behind, if negative); 0 is refused as it leaks nothing and shifts nothing."""
+def lead_by(df: DataFrame, column: str, steps: int, into: str, chunk_steps: int = chunks.STEPS) -> DataFrame:
+    """Adds the value `steps` grid rows ahead (behind, if negative); 0 is refused as it leaks nothing and shifts nothing."""
     if steps == 0:
         raise ValueError("steps must not be 0")
-    return F.lead(column, steps).over(Window.partitionBy(*KEYS).orderBy("b"))
+    return chunks.shifted(df, KEYS, column, into, steps, chunk_steps)
 
 
-def forward_return(df: DataFrame, steps: int, close: str = "close_price") -> DataFrame:
+def forward_return(df: DataFrame, steps: int, close: str = "close_price", chunk_steps: int = chunks.STEPS) -> DataFrame:
     """Adds output: the change of the close over the next steps of the dense grid, in basis points."""
-    return df.withColumn("output", bps(lead_by(df, close, steps), F.col(close)))
+    ahead = lead_by(df, close, steps, "_ahead", chunk_steps)
+    return ahead.withColumn("output", bps(F.col("_ahead"), F.col(close))).drop("_ahead")
 
 
 def usable(df: DataFrame, target: str, regressors: list[str], categorical: tuple[str, ...] = ()) -> DataFrame:
@@ -105,13 +116,15 @@ def split_points(n: int, train: float, validation: float) -> tuple[int, int]:
 
 
 def chronological_split(df: DataFrame, train: float, validation: float = 0.0, test: float = 0.0, by: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("sampled_time",)) -> DataFrame:
-    """Adds split: train, validation and test in order of time within each group."""
+    """Adds split: train, validation and test in order of time within each group. Ranks are counted by chunk: days of a time, chunks.STEPS of a number."""
     if abs(train + validation + test - 1) > 1e-9:
         raise ValueError("shares must add up to 1")
-    w = Window.partitionBy(*by)
-    n, k = F.count("*").over(w).cast("double"), F.row_number().over(w.orderBy(*order)) - 1
+    first = df.schema[order[0]].dataType.typeName()
+    chunk = F.to_date(order[0]) if first.startswith(("timestamp", "date")) else F.floor(F.col(order[0]) / F.lit(chunks.STEPS))
+    ranked = chunks.ranked(df, by, order, chunk)
+    n, k = F.col("_count").cast("double"), F.col("_rank")
     cut = lambda share: F.floor(n * F.lit(float(share)))
-    return df.withColumn("split", F.when(k < cut(train), "train").when(k < cut(train + validation), "validation").otherwise("test"))
+    return ranked.withColumn("split", F.when(k < cut(train), "train").when(k < cut(train + validation), "validation").otherwise("test")).drop("_rank", "_count")
 
 
 def split_at(df: DataFrame, first: Column, second: Column, moment: str) -> DataFrame:

@@ -46,8 +46,17 @@ def previous(trades: DataFrame, chunk: str = "continuous") -> DataFrame:
     """Adds price_last_prev and trade_time_prev of an instrument's trade before; with chunk="day" the first of a day has none."""
     if chunk not in ("continuous", "day"):
         raise ValueError(chunk)
-    w = Window.partitionBy(*KEYS, *(["date"] if chunk == "day" else [])).orderBy("trade_time")
-    return trades.withColumns({"price_last_prev": F.lag("price_last").over(w), "trade_time_prev": F.lag("trade_time").over(w)})
+    day = Window.partitionBy(*KEYS, "date").orderBy("trade_time")
+    out = trades.withColumns({"price_last_prev": F.lag("price_last").over(day), "trade_time_prev": F.lag("trade_time").over(day)})
+    if chunk == "day":
+        return out
+    # A day's first trade follows the last one of the day before that has trades: one row a day, whatever the day holds.
+    lasts = trades.groupBy(*KEYS, "date").agg(F.max_by("price_last", "trade_time").alias("price"), F.max("trade_time").alias("at"))
+    days = Window.partitionBy(*KEYS).orderBy("date")
+    carried = lasts.select(*KEYS, "date", F.lag("price").over(days).alias("_price"), F.lag("at").over(days).alias("_at"))
+    first, names = F.col("trade_time_prev").isNull(), out.columns
+    out = out.join(carried, [*KEYS, "date"], "left").withColumns({"price_last_prev": F.when(first, F.col("_price")).otherwise(F.col("price_last_prev")), "trade_time_prev": F.coalesce("trade_time_prev", "_at")})
+    return out.select(*names)
 
 
 def prepared(ticks: DataFrame, order: Column | None = None, side: Callable[[], Column] = maker_side, chunk: str = "continuous") -> DataFrame:

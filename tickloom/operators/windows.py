@@ -1,17 +1,19 @@
 """Right-closed, right-labelled windows on a regular grid.
 
 Bucket b holds the trades with (b - 1) * step < t <= b * step. Overlapping windows of whole steps are built on the dense grid by a
-ladder: a longer window is the merge of shorter ones a constant offset back, so all windows take one shuffle, one sort and a few merges a row
-instead of a copy of each trade for each window it falls in.
+ladder: a longer window is the merge of shorter ones a constant offset back, so all windows take one sort and a few merges a row instead of a copy of each trade for each window it falls in. A series is
+worked on in chunks, each with the longest window's steps before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.bounds import Bounds
 from tickloom.functions import features as ft
 from tickloom.functions.scalar import from_micros
+from tickloom.operators import chunks
 from tickloom.operators.trades import KEYS
 
 OUTPUTS = ("asset_return", "asset_hold_time", "flow_imbalance", "slippage_imbalance", "powerlaw_alpha", "share_of_long_trades", "num_trades")
@@ -29,12 +31,18 @@ def bucketed(trades: DataFrame, step_us: int) -> DataFrame:
     return indexed.groupBy(*KEYS, "b").agg(ft.partial().alias("p"))
 
 
-def grid(keys: DataFrame, first_us: int, last_us: int, step_us: int) -> DataFrame:
-    """Every bucket with first_us < label <= last_us for every key."""
-    low, high = first_us // step_us + 1, last_us // step_us
+def grid(keys: DataFrame, first_us: int, after_us: int, step_us: int) -> DataFrame:
+    """Every bucket with first_us <= label < after_us for every key."""
+    low, high = -(-first_us // step_us), -(-after_us // step_us) - 1
     return keys.select(*KEYS).distinct().withColumn("b", F.explode(F.sequence(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))))
 
 
+def grid_of(keys: DataFrame, bounds: Bounds, step_us: int) -> DataFrame:
+    """Every bucket whose label lies in the bounds: of a day at 500 ms 172,800, the first at midnight."""
+    first_us, last_us = bounds.micros()
+    return grid(keys, first_us, last_us + 1, step_us)
+
+
 def grid_of_trades(trades: DataFrame, step_us: int) -> DataFrame:
     """The dense grid from each instrument's own first bucket to its last."""
     spans = trades.groupBy(*KEYS).agg(F.min("trade_us").alias("lo"), F.max("trade_us").alias("hi"))
@@ -86,16 +94,29 @@ def rungs(lengths: list[int]) -> list[tuple[int, list[tuple[int, int]]]]:
     return out
 
 
-def overlapping(trades: DataFrame, step_us: int, lengths: list[int], dense: DataFrame | None = None, warmup: str = "partial") -> DataFrame:
+def overlapping(trades: DataFrame, step_us: int, lengths: list[int], dense: DataFrame | None = None, warmup: str = "partial", chunk_steps: int = chunks.STEPS) -> DataFrame:
     """(exchange, symbol, b, w1, wK...): on each grid row, the partial of the last K steps for every K of lengths.
 
-    warmup="drop" empties windows that begin before the instrument's first trade's step; "partial" keeps what they have.
+    warmup="drop" empties windows that begin before the instrument's first trade's step; "partial" keeps what they have. Trades outside the grid don't
+    count: begin it earlier to have them. Each key's grid has no gaps.
     """
     if warmup not in ("partial", "drop"):
         raise ValueError(warmup)
     dense = grid_of_trades(trades, step_us) if dense is None else dense
-    order = Window.partitionBy(*KEYS).orderBy("b")
-    df = dense.join(bucketed(trades, step_us), [*KEYS, "b"], "left").withColumn("w1", F.coalesce("p", ft.empty())).drop("p")
+    longest = max(lengths) - 1
+    found = bucketed(trades, step_us)
+    joined = dense.join(found, [*KEYS, "b"], "left").withColumn("w1", F.coalesce("p", ft.empty())).drop("p")
+    df = chunks.without_halo(_with_rungs(chunks.with_halo(joined, longest, steps=chunk_steps), lengths))
+    if warmup == "drop":
+        firsts = found.groupBy(*KEYS).agg(F.min("b").alias("_b0"))
+        df = df.join(firsts, list(KEYS), "left")
+        df = df.withColumns({f"w{k}": F.when(F.col("b") < F.col("_b0") - 1 + k, ft.empty()).otherwise(F.col(f"w{k}")) for k in sorted({1, *lengths})}).drop("_b0")
+    return df.select(*KEYS, "b", *[f"w{k}" for k in sorted(set(lengths))])
+
+
+def _with_rungs(df: DataFrame, lengths: list[int]) -> DataFrame:
+    """Adds the rungs to w1, by chunk. The grid is dense, so a lag of rows is one of steps."""
+    order = chunks.order(KEYS)
     for k, parts in rungs(lengths):
         pieces = [F.coalesce(F.lag(f"w{n}", back).over(order), ft.empty()) if back else F.col(f"w{n}") for n, back in parts]
         names = [f"_m{i}" for i in range(len(pieces))]
@@ -104,11 +125,7 @@ def overlapping(trades: DataFrame, step_us: int, lengths: list[int], dense: Data
         for name in names[1:]:
             merged = ft.merge(F.col(name), merged)
         df = df.withColumn(f"w{k}", merged).drop(*names)
-    if warmup == "drop":
-        first = F.min(F.when(F.col("w1")["n"] > 0, F.col("b"))).over(Window.partitionBy(*KEYS))
-        df = df.withColumn("_b0", first - 1)
-        df = df.withColumns({f"w{k}": F.when(F.col("b") < F.col("_b0") + k, ft.empty()).otherwise(F.col(f"w{k}")) for k in sorted({1, *lengths})}).drop("_b0")
-    return df.select(*KEYS, "b", *[f"w{k}" for k in sorted(set(lengths))])
+    return df
 
 
 def naive_overlapping(trades: DataFrame, step_us: int, length: int) -> DataFrame:
@@ -117,17 +134,16 @@ def naive_overlapping(trades: DataFrame, step_us: int, length: int) -> DataFrame
     return copies.groupBy(*KEYS, "b").agg(ft.partial().alias(f"w{length}"))
 
 
-def forward_fill(df: DataFrame, column: str) -> Column:
-    """The last value so far; leading gaps stay."""
-    return F.last(column, ignorenulls=True).over(Window.partitionBy(*KEYS).orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+def forward_fill(df: DataFrame, column: str, into: str, chunk_steps: int = chunks.STEPS) -> DataFrame:
+    """Adds the last value so far; leading gaps stay."""
+    return chunks.filled(df, KEYS, column, into, chunk_steps)
 
 
-def sampled(trades: DataFrame, step_us: int, lengths: list[int], first_us: int, last_us: int, warmup: str = "partial") -> DataFrame:
-    """Long table of all windows on the grid: returns are 0 where missing, the close is carried forward."""
-    dense = grid(trades, first_us, last_us, step_us)
-    wide = overlapping(trades, step_us, sorted({1, *lengths}), dense, warmup)
-    closed = wide.withColumn("_close", F.col("w1")["last_price"])
-    closed = closed.withColumn("close_price", forward_fill(closed, "_close"))
+def sampled(trades: DataFrame, step_us: int, lengths: list[int], first_us: int, after_us: int, warmup: str = "partial", chunk_steps: int = chunks.STEPS) -> DataFrame:
+    """Long table of all windows on the grid [first_us, after_us): returns are 0 where missing, the close is carried forward."""
+    dense = grid(trades, first_us, after_us, step_us)
+    wide = overlapping(trades, step_us, sorted({1, *lengths}), dense, warmup, chunk_steps)
+    closed = forward_fill(wide.withColumn("_close", F.col("w1")["last_price"]), "_close", "close_price", chunk_steps)
     stacked = closed.select(*KEYS, "b", "close_price", F.explode(F.array(*[F.struct(F.lit(k).alias("length"), F.col(f"w{k}").alias("p")) for k in lengths])).alias("x"))
     p, seconds = F.col("x.p"), F.col("x.length") * step_us / 1e6
     out = stacked.select(*KEYS, "b", from_micros(F.col("b") * step_us).alias("sampled_time"), (F.col("x.length") * step_us / 1000).cast("bigint").alias("window_ms"), "close_price", seconds.alias("_s"), *[ft.FEATURES[n](p).alias(n) for n in OUTPUTS])

@@ -64,7 +64,7 @@ LINES_SQL = (
     " CAST(l_extendedprice AS DOUBLE) / CAST(l_quantity AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS quantity, l_returnflag = 'R' AS is_buyer_maker, lineitem.* FROM lineitem),\n" + _ENRICHED + ",\n" + _TRADES.format(order=", ".join(LINE_ORDER))
 )
 BUCKETED_SQL = EVENTS_SQL + f",\nb AS (SELECT *, (trade_us + {HOUR_US - 1}) // {HOUR_US} AS b FROM trades)"
-GRID_SQL = BUCKETED_SQL + ",\ngrid AS (SELECT exchange, symbol, CAST(g AS BIGINT) AS b FROM (SELECT DISTINCT exchange, symbol FROM trades), generate_series(%d, %d) AS s(g))" % (FIRST_US // HOUR_US + 1, LAST_US // HOUR_US)
+GRID_SQL = BUCKETED_SQL + ",\ngrid AS (SELECT exchange, symbol, CAST(g AS BIGINT) AS b FROM (SELECT DISTINCT exchange, symbol FROM trades), generate_series(%d, %d) AS s(g))" % (FIRST_US // HOUR_US, LAST_US // HOUR_US - 1)
 
 
 def near(expression: str, digits: int = 9) -> str:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from tickloom.bounds import Bounds
 from tickloom.functions.features import adjusted_return
-from tickloom.functions.scalar import clip, from_micros, grid_round, keep_finite, safe_div
+from tickloom.functions.scalar import clip, from_micros, grid_round, keep_finite, safe_div, side_sign
 from tickloom.operators import crosssection as cs
-from tickloom.operators import model, panel, pumps, windows
+from tickloom.operators import instruments, model, panel, pumps, windows
 from tickloom.operators import trades as tr
 from tickloom.plans import adapters as ad
 from tickloom.plans.adapters import BUCKETED_SQL, EVENTS_SQL, FEATURES_SQL, FIRST_US, GRID_SQL, HOUR_US, LAST_US, LINES_SQL, RETURN_SQL, near, table
@@ -108,7 +108,7 @@ def _closes(spark, sf):
     trades = ad.event_trades(spark, sf)
     found = windows.bucketed(trades, HOUR_US).select("exchange", "symbol", "b", F.col("p.last_price").alias("close"))
     dense = windows.grid(trades, FIRST_US, LAST_US, HOUR_US).join(found, ["exchange", "symbol", "b"], "left")
-    return dense.withColumn("close_price", windows.forward_fill(dense, "close")).drop("close")
+    return windows.forward_fill(dense, "close", "close_price").drop("close")
 
 
 @query(f"WITH {CLOSE_SQL} SELECT * FROM c")
@@ -370,17 +370,14 @@ def symbol_split_regex(spark, sf):
     return table(spark, sf, "part").select("p_partkey", F.split("p_type", " ")[0].alias("base"), F.regexp_extract("p_type", "([A-Z]+)$", 1).alias("term"), F.upper("p_name").alias("upper_name"), F.col("p_size").isin(1, 5, 9).alias("chosen"))
 
 
-_PIECES = Bounds.for_days(datetime(2024, 1, 1).date(), datetime(2024, 1, 31).date()).overlapping(timedelta(days=5), timedelta(days=7))
+_MONTH = Bounds.for_days(datetime(2024, 1, 1).date(), datetime(2024, 1, 31).date())
 
 
 @query("WITH p AS (SELECT g AS piece, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 5 DAY * g AS lb, least(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 5 DAY * g + INTERVAL 7 DAY - INTERVAL 1 MICROSECOND, TIMESTAMP '2024-01-30 23:59:59.999999') AS rb FROM generate_series(0, 5) AS s(g)) SELECT CAST(piece AS INTEGER) AS piece, event_type AS symbol, count(*) AS n FROM events JOIN p ON ts BETWEEN lb AND rb GROUP BY piece, event_type")
 def bounds_overlapping(spark, sf):
-    ticks = ad.event_ticks(spark, sf)
-    parts = [ticks.where(b.predicate()).groupBy("symbol").agg(F.count("*").alias("n")).withColumn("piece", F.lit(k)) for k, b in enumerate(_PIECES)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("piece", "symbol", "n")
+    pieces = _MONTH.pieces_of(F.col("trade_time"), timedelta(days=5), timedelta(days=7))
+    ticks = ad.event_ticks(spark, sf).where(_MONTH.predicate()).select("symbol", F.explode(pieces).alias("piece"))
+    return ticks.groupBy("piece", "symbol").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {BUCKETED_SQL} SELECT g.exchange, g.symbol, g.b, first(price_first ORDER BY trade_us) AS open, last(price_last ORDER BY trade_us) AS close FROM b g GROUP BY g.exchange, g.symbol, g.b")
@@ -420,18 +417,51 @@ def sampled_features(spark, sf):
     return rounded(out.select("exchange", "symbol", "b", "window_ms", "asset_return", "flow_imbalance", "num_trades"), "flow_imbalance")
 
 
+def _model_rows(spark, sf):
+    wide = windows.sampled(ad.event_trades(spark, sf), HOUR_US, [1, 6], FIRST_US, LAST_US)
+    pick = lambda c, w: F.max(F.when(F.col("window_ms") == w, F.col(c)))
+    one, six = 3_600_000, 21_600_000
+    columns = [pick(c, one).alias(c) for c in ("close_price", "asset_return", "flow_imbalance", "powerlaw_alpha")] + [pick("asset_return", six).alias("return_6h"), pick("flow_imbalance", six).alias("flow_6h")]
+    return wide.groupBy("exchange", "symbol", "b").agg(*columns).withColumn("currency", F.col("symbol"))
+
+
+REGRESSORS = ["asset_return", "flow_imbalance", "powerlaw_alpha", "return_6h", "flow_6h", "currency"]
+
+
 @query()
 def boosted_metrics(spark, sf):
-    """Refit on the best features and metrics by symbol; boosting has no SQL."""
-    trades = ad.event_trades(spark, sf)
-    wide = windows.sampled(trades, HOUR_US, [1, 6], FIRST_US, LAST_US).where("exchange = 'X0'")
-    one, six = (wide.where(F.col("window_ms") == w) for w in (3_600_000, 21_600_000))
-    rows = one.join(six.select("symbol", "b", F.col("asset_return").alias("return_6h"), F.col("flow_imbalance").alias("flow_6h")), ["symbol", "b"])
-    data = panel.usable(panel.forward_return(rows, 3), "output", ["asset_return"])
-    data = panel.chronological_split(data, 0.9, 0.0, 0.1, ("symbol",), ("b",)).cache()
-    regressors = ["asset_return", "flow_imbalance", "powerlaw_alpha", "return_6h", "flow_6h"]
-    fitted, best = model.select_and_refit(data.where("split = 'train'"), regressors, "output", 3, model.Boosting(trees=10))
-    return model.evaluate(fitted, data.where("split = 'test'"), best, "output", "symbol")
+    """A horizon's selection, refit with early stopping and metrics by symbol, with fewer trees than the default; boosting has no SQL."""
+    split = lambda df: panel.chronological_split(df, 0.8, 0.1, 0.1, ("exchange", "symbol"), ("b",))
+    found, _ = model.sweep(_model_rows(spark, sf), REGRESSORS, [3], "symbol", split, model.Boosting(trees=10), 3, ("currency",))
+    return found
+
+
+@query(f"WITH {LINES_SQL}, sided AS (SELECT exchange, symbol, trade_id, trade_time, price, quantity, CASE WHEN side = 'SELL' THEN -1 ELSE 1 END AS s FROM (SELECT *, l_orderkey * 10 + l_linenumber AS trade_id, CASE WHEN l_returnflag = 'R' THEN 'SELL' WHEN l_returnflag = 'A' THEN 'buy' END AS side FROM ticks)) SELECT exchange, symbol, trade_id, trade_time, s AS side_sign, price * quantity AS quote_abs, price * quantity * s AS quote_sign, quantity * s AS quantity_sign FROM sided")
+def sided_enriched(spark, sf):
+    """Ticks that name a side instead of the maker."""
+    side = F.when(F.col("l_returnflag") == "R", "SELL").when(F.col("l_returnflag") == "A", "buy")
+    ticks = ad.line_ticks(spark, sf).select("exchange", "symbol", "trade_time", "price", "quantity", (F.col("rank.l_orderkey") * 10 + F.col("rank.l_linenumber")).alias("trade_id"), F.col("rank.l_returnflag").alias("l_returnflag"))
+    out = tr.enrich(ticks.withColumn("side", side), lambda: side_sign(F.col("side")))
+    return out.select("exchange", "symbol", "trade_id", "trade_time", "side_sign", "quote_abs", "quote_sign", "quantity_sign")
+
+
+@query(f"WITH {GRID_SQL}, o AS (SELECT exchange, symbol, b, first(price_first ORDER BY trade_us) AS open FROM b GROUP BY exchange, symbol, b) SELECT g.exchange, g.symbol, g.b, coalesce(o.open, -1.0) AS open FROM o RIGHT JOIN grid g USING (exchange, symbol, b)")
+def grid_right_join(spark, sf):
+    """First prices of the grid's steps, -1 where a step has none."""
+    trades = ad.event_trades(spark, sf).withColumn("b", windows.bucket(F.col("trade_us"), HOUR_US))
+    first = trades.groupBy("exchange", "symbol", "b").agg(F.min_by("price_first", "trade_us").alias("open"))
+    return first.join(windows.grid(trades, FIRST_US, LAST_US, HOUR_US), ["exchange", "symbol", "b"], "right").withColumn("open", F.coalesce("open", F.lit(-1.0)))
+
+
+@query("SELECT symbol, CASE WHEN len(p) = 2 THEN p[1] END AS base, CASE WHEN len(p) = 2 THEN p[2] END AS term, coalesce(len(p) = 2 AND p[1] IN ('BUILDING', 'MACHINERY'), FALSE) AS is_stable, CAST(row_number() OVER (ORDER BY symbol) - 1 AS INTEGER) AS currency_index FROM (SELECT symbol, string_split(symbol, '-') AS p FROM (SELECT DISTINCT c_mktsegment || '-' || CAST(c_nationkey AS VARCHAR) AS symbol FROM customer))")
+def instrument_dimension(spark, sf):
+    symbols = table(spark, sf, "customer").select(F.concat_ws("-", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("symbol"))
+    return instruments.instruments(symbols, ("BUILDING", "MACHINERY")).withColumn("currency_index", F.col("currency_index").cast("int"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE CAST('0x' || substr(md5('7|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) < CAST(floor(0.1 * 4294967296) AS BIGINT)")
+def row_sample(spark, sf):
+    return instruments.sample_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"], 0.1, 7)
 
 
 @query(f"WITH {EVENTS_SQL} SELECT exchange, symbol, date_trunc('hour', trade_time) AS start, first(price ORDER BY trade_time, trade_id) AS open, max(price) AS high, min(price) AS low, last(price ORDER BY trade_time, trade_id) AS close, {near('sum(quote_abs)', 4)} AS quote_abs, {near('sum(quote_sign) / NULLIF(sum(quote_abs), 0)')} AS flow_imbalance, count(*) AS num_ticks FROM enriched GROUP BY exchange, symbol, date_trunc('hour', trade_time)")

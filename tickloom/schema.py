@@ -15,6 +15,7 @@ BASE_MS = 500
 WINDOWS_MS = (500, 1_000, 2_000, 5_000, 10_000, 30_000, 60_000, 120_000, 300_000)
 HORIZONS_S = (1, 2, 3, 4, 5, 10, 15, 30, 60, 120, 300)
 
+#: Venues, and currencies that aren't targets of a forecast. Fixed values.
 VENUES = ("BINANCE_SPOT", "BINANCE_USDM", "OKX_SPOT")
 STABLECOINS = ("USDT", "USDC", "BUSD", "TUSD", "FDUSD")
 
