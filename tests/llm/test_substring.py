@@ -20,10 +20,22 @@ def test_index_finds_all_occurrences():
         for c in pattern[::-1]:
             low, high = index.extend(np.array([c]), low, high)
         places = [i for i in range(len(text) - len(pattern) + 1) if (text[i : i + len(pattern)] == pattern).all()]
-        assert sorted(index.order[low[0] : high[0]].tolist()) == places
+        assert high[0] - low[0] == len(places)
         assert index.earliest(low, high)[0] == places[0]
 
 
+def test_range_minima_and_size():
+    rng = np.random.default_rng(5)
+    for n in (1, 15, 16, 17, 400, 5000):
+        values = rng.integers(0, 1 << 30, n).astype(np.int32)
+        minima = f.RangeMinima(values)
+        low = rng.integers(0, n, 500)
+        high = np.minimum(low + 1 + rng.integers(0, rng.choice([3, 40, 4000], 500)), n)
+        assert minima.least(low, high).tolist() == [values[a:b].min() for a, b in zip(low, high, strict=True)]
+    index = f.FMIndex(rng.integers(1, 5000, 200_000), 5000)
+    assert index.nbytes < 16 * 200_000
+
+
 def brute(docs, window):
     first, out = {}, {}
     split = {d: (t or "").encode().split() for d, t in docs}
