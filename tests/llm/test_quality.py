@@ -40,6 +40,64 @@ def test_em_finds_the_reliable_rules():
     assert q.fit(patterns[:0], counts[:0], q.BELIEF).prior == 0.8
 
 
+def plain_em(votes, belief):
+    """Posterior of each row by expectation-maximisation on the rows themselves, one at a time."""
+    n_rules, n = len(votes[0]), len(votes)
+    accuracy = [[belief.right_on_bad, belief.right_on_good] for _ in range(n_rules)]
+    prior = belief.prior
+    for _ in range(500):
+        good = []
+        for v in votes:
+            bad_like, good_like = 1 - prior, prior
+            for r, x in enumerate(v):
+                if x != 2:
+                    bad_like *= accuracy[r][0] if x == 0 else 1 - accuracy[r][0]
+                    good_like *= accuracy[r][1] if x == 1 else 1 - accuracy[r][1]
+            good.append(good_like / (good_like + bad_like))
+        prior = (sum(good) + 2 * belief.prior) / (n + 2)
+        last = [list(a) for a in accuracy]
+        for r in range(n_rules):
+            for c, start in ((0, belief.right_on_bad), (1, belief.right_on_good)):
+                weight = [g if c else 1 - g for g in good]
+                right = sum(w for w, v in zip(weight, votes) if v[r] == c)
+                wrong = sum(w for w, v in zip(weight, votes) if v[r] == 1 - c)
+                accuracy[r][c] = (right + start * belief.rows) / (right + wrong + belief.rows)
+        if max(abs(a - b) for x, y in zip(accuracy, last) for a, b in zip(x, y)) < 1e-7:
+            break
+    return good
+
+
+def test_verdicts_match_brute_force(spark, sf):
+    rows = q.assess(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    votes = []
+    for r in rows:
+        n = max(r.n_words, 1)
+        share = lambda x, of=n: x / of if r.n_words else 0.0  # noqa: B023, E731
+        pick = lambda bad, good: 0 if bad else 1 if good else 2
+        digits = r.n_digits / r.word_chars if r.word_chars else 0.0
+        lines = r.n_dup_lines / r.n_lines if r.n_lines else 0.0
+        votes.append((
+            pick(share(r.n_symbols) > 0.25, share(r.n_symbols) < 0.02), pick(r.n_upper > r.n_lower, r.n_lower > 0 and r.n_upper < 0.15 * r.n_lower), pick(share(r.n_bangs) > 0.25, share(r.n_bangs) < 0.05),
+            pick(share(r.n_pipes) > 0.15, r.n_pipes == 0), pick(lines > 0.4, lines < 0.1), pick(share(r.n_repeat_words) > 0.4, share(r.n_repeat_words) < 0.15),
+            pick(r.n_words >= 20 and r.n_function < 0.05 * r.n_words, share(r.n_function) > 0.2), pick(r.n_words >= 40 and r.n_ends < 0.005 * r.n_words, 0.01 <= share(r.n_ends) <= 0.3),
+            pick(not 2.5 <= share(r.word_chars) <= 14, 3.5 <= share(r.word_chars) <= 9), pick(digits > 0.2, digits < 0.05),
+        ))
+    good = plain_em(votes, q.BELIEF)
+    assert max(abs(r.p_good - g) for r, g in zip(rows, good)) < 1e-4
+    assert [r.kept for r in rows] == [not r.base_failed and g >= 0.5 for r, g in zip(rows, good)]
+
+
+def test_the_posterior_rescues_what_one_rule_blames():
+    """A document that only a rule of poor accuracy blames is kept; all-must-pass rules would drop it."""
+    rng = np.random.default_rng(1)
+    good = rng.random(20000) < 0.8
+    blamed = np.stack([np.where(good, rng.random(20000) < 0.2, rng.random(20000) < 0.3), np.where(good, rng.random(20000) < 0.01, rng.random(20000) < 0.9), np.where(good, rng.random(20000) < 0.01, rng.random(20000) < 0.8)], 1)
+    patterns, counts = np.unique((~blamed).astype(int), axis=0, return_counts=True)
+    model = q.fit(patterns, counts.astype(float), q.BELIEF)
+    found = dict(zip(map(tuple, patterns.tolist()), model.posterior(patterns)))
+    assert found[0, 1, 1] > 0.9 and found[1, 0, 0] < 0.1
+
+
 def test_quality_labels_of_the_corpus(spark, sf):
     sf = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -124,8 +124,9 @@ def _sample(labelled: DataFrame, sample_rows: int) -> tuple[DataFrame, list[str]
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fits on (doc_id, text, lang). Null langs and texts are left out. Runs three jobs over the sample; what reaches the driver
-    is a table of counts of fixed size for each language.
+    """Fits on (doc_id, text, lang). Null langs and texts are left out; rows with null ids share one draw of the sample; repeated rows count as often as they
+    occur; an empty table gives a model of no language. Texts are read whole. Runs three jobs over the sample; what reaches the driver is a table of counts
+    of fixed size for each language.
     """
     sample, languages = _sample(labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang"), sample_rows)
     code, buckets = codewords(len(languages)), 1 << BUCKET_BITS
@@ -175,7 +176,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) for each row of docs.
 
     A null text, or one without a letter, is UNKNOWN with score 0, as is everything if the model knows no language.
-    Repeated rows get the same answer; other columns of docs are not read.
+    Repeated rows get the same answer, null ids stay null, texts of any length are read whole, an empty table gives no rows; where languages tie the first by
+    name is given, as ambiguous. Other columns of docs are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -191,7 +193,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, least_score: float = KEPT_SCORE) -> DataFrame:
-    """docs without the rows whose language is unknown or scores under least_score; all columns stay, nothing is shuffled."""
+    """docs without the rows whose language is unknown or scores under least_score; all columns stay, nothing is shuffled.
+
+    Null texts go, null ids stay; a repeated row stays as often as it occurs; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names, held = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
     at = names.index("text")
