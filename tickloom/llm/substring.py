@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.common import byte_texts, chunks, cut
+from tickloom.llm.common import byte_texts, chunks, cut, limit_batches, release
 from tickloom.llm.fmindex import FMIndex, earlier_spans
 
 WINDOW = 20
@@ -37,6 +37,9 @@ ANCHOR = 6
 #: Anchors whose stretches one task indexes and searches.
 ANCHORS_PER_TASK = 60_000
 _PIECE = 48
+#: A repeated anchor's slot, of 2^27, is marked in a table of 16 MB that goes to all tasks, so most of the others aren't dealt out again. More anchors
+#: than slots only let more of them through.
+_SLOT_BITS, _BLOCK_BITS = 27, 16
 #: A shard with fewer anchors than this isn't salted.
 _LEAST_SALTED = 2000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -121,19 +124,43 @@ def anchors(words: Words, window: int, size: int) -> tuple[np.ndarray, np.ndarra
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(id, fp, text): fp tells rows of one id apart by their text, and is 0 where ids are unique."""
+    limit_batches(docs.sparkSession)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     repeated = plain.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     return plain.select("id", (F.xxhash64("text") if repeated else F.lit(0).cast("bigint")).alias("fp"), "text")
 
 
-def _all_anchors(keyed: DataFrame, window: int, size: int) -> DataFrame:
+def _slot_table(hashes: DataFrame) -> np.ndarray:
+    """A bit for each slot that a hash of (h) has. Gathered by blocks of slots; what reaches the driver is the table."""
+    slot = F.shiftrightunsigned("h", 64 - _SLOT_BITS)
+    dealt = hashes.select(F.shiftright(slot, _BLOCK_BITS).alias("block"), slot.bitwiseAND(F.lit((1 << _BLOCK_BITS) - 1)).alias("place"))
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << _BLOCK_BITS, np.uint8)
+        bits[rows["place"].to_numpy()] = 1
+        return pd.DataFrame({"block": [rows["block"].iat[0]], "bits": [np.packbits(bits).tobytes()]})
+
+    table = np.zeros((1 << _SLOT_BITS - _BLOCK_BITS, 1 << _BLOCK_BITS - 3), np.uint8)
+    for row in dealt.groupBy("block").applyInPandas(gather, "block bigint, bits binary").toLocalIterator():
+        table[row.block] = np.frombuffer(row.bits, np.uint8)
+    return table.ravel()
+
+
+def _all_anchors(keyed: DataFrame, window: int, size: int, slots: np.ndarray | None = None) -> DataFrame:
+    """(h, id, fp, p) of every anchor, or of those whose slot is marked."""
+    shared = None if slots is None else keyed.sparkSession.sparkContext.broadcast(slots)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(byte_texts(batch))
             grams, at, _ = anchors(words, window, size)
+            if shared is not None:
+                slot = (grams[at] >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+                at = at[(shared.value[slot >> 3] >> (7 - (slot & 7))) & 1 == 1]
             of = np.searchsorted(words.bounds, at, side="right") - 1
             columns = (grams[at].view(np.int64), batch.column(0).to_numpy()[of], batch.column(1).to_numpy()[of], (at - words.bounds[of]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "id", "fp", "p"])
+        release()
 
     return keyed.mapInArrow(run, "h bigint, id bigint, fp bigint, p int")
 
@@ -278,14 +305,14 @@ def _searcher(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, anchors_per_task: int = ANCHORS_PER_TASK) -> tuple[DataFrame, DataFrame]:
     """(keyed docs, (id, fp, a, b) word ranges to remove). Ranges may overlap. Runs jobs; the spans are written once."""
     keyed = _keyed(docs)
-    found = _all_anchors(keyed, window, anchor)
-    repeated = found.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
+    repeated = _all_anchors(keyed, window, anchor).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1")
     repeated = cut(repeated)
     load = repeated.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-load // anchors_per_task))
     repeated = repeated.withColumn("shard", F.pmod(F.xxhash64("first"), F.lit(shards)))
     fair = max(2 * load / shards, min(_LEAST_SALTED, anchors_per_task))
     salts = repeated.groupBy("shard").agg(F.ceil(F.sum("n") / fair).cast("int").alias("salts"))
+    found = _all_anchors(keyed, window, anchor, _slot_table(repeated))
     marked = found.join(repeated.join(salts, "shard").select("h", "first", "shard", "salts"), "h")
     marks = marked.groupBy("id", "fp").agg(F.collect_list(F.struct("p", "first", "shard", "salts")).alias("marks"))
     segments = _segments(_compressed(keyed).join(marks, ["id", "fp"]), window, anchor)
