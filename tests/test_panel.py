@@ -162,3 +162,13 @@ def test_hold_times_for_evaluation(spark):
     ids = spark.createDataFrame([("A", 0)], "symbol string, currency_index int")
     out = panel.build_panel(long, {}, (500,), ("V", "W"), "V", ids, evaluation=True).first()
     assert out["SELF-asset_hold_time-500MS@V"] == 0.25 and out["SELF-exchange_diff-500MS@V-W"] == -1.0
+
+
+def test_datasets_of_other_features_are_refused(spark):
+    df = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
+    one, two = FeatureSet(("x",), "y"), FeatureSet(("x",), "y", categorical=("x",))
+    assert panel.union_datasets([(df, one), (df, one)])[0].count() == 2
+    with pytest.raises(ValueError):
+        panel.union_datasets([(df, one), (df, two)])
+    with pytest.raises(ValueError):
+        panel.merge_samples([{"train": (df, one)}, {"test": (df, one)}])

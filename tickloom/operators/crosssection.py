@@ -69,6 +69,10 @@ def top_k(df: DataFrame, value: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(value), tie).limit(k)
 
 
+def last_k(df: DataFrame, value: str, k: int, tie: str) -> DataFrame:
+    return df.orderBy(value, F.desc(tie)).limit(k)
+
+
 def pivot_normalised(df: DataFrame, feature: str, horizon: str, gain: str, horizons: list) -> DataFrame:
     """Gains by feature and horizon, 0 where absent, each horizon as shares of its total, with their mean; largest mean first."""
     total = F.sum(gain).over(Window.partitionBy(horizon))

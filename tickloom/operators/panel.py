@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.scalar import bps, safe_div
 from tickloom.operators import chunks
 from tickloom.operators.trades import KEYS
-from tickloom.schema import FeatureFilter, difference_name, feature_name
+from tickloom.schema import FeatureFilter, FeatureSet, difference_name, feature_name
 
 #: Which statistics are read for which venues, and whether market instruments carry them too.
 STATISTICS = (
@@ -133,6 +135,21 @@ def split_at(df: DataFrame, first: Column, second: Column, moment: str) -> DataF
     return df.withColumn("split", F.when(t < first, "train").when(t <= second, "validation").otherwise("test"))
 
 
+def union_datasets(parts: list[tuple[DataFrame, FeatureSet]]) -> tuple[DataFrame, FeatureSet]:
+    """Rows of datasets with the same features, of their columns only; other feature sets are refused."""
+    features = parts[0][1]
+    if any(f != features for _, f in parts):
+        raise ValueError("datasets have different features")
+    return functools.reduce(DataFrame.unionByName, [df.select(*[F.col(f"`{c}`") for c in features.columns]) for df, _ in parts]), features
+
+
+def merge_samples(samples: list[dict[str, tuple[DataFrame, FeatureSet]]]) -> dict[str, tuple[DataFrame, FeatureSet]]:
+    """Samples (split to dataset) merged split by split; each has the same splits."""
+    if any(set(s) != set(samples[0]) for s in samples):
+        raise ValueError("samples have different splits")
+    return {split: union_datasets([s[split] for s in samples]) for split in samples[0]}
+
+
 def override(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Columns of both by keys; of columns that both have, the right's."""
     return left.drop(*[c for c in right.columns if c not in keys]).join(right, keys, "left")

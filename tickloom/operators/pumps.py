@@ -20,7 +20,7 @@ def hourly_candles(trades: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Left-closed, left-labelled hours of prepared trades: return in bps from the price before the first trade, quote, long quote, slippage, trades."""
     keyed = trades.withColumn("hour_us", F.col("trade_us") - F.pmod("trade_us", F.lit(HOUR)))
     return keyed.groupBy(*extra, "exchange", "symbol", "hour_us").agg(
-        bps(F.max_by("price_last", "trade_us"), F.min_by(F.struct("price_last_prev"), "trade_us")["price_last_prev"]).alias("asset_return"), F.sum("quote_abs").alias("quote_abs"),
+        bps(F.max_by("price_last", "trade_us"), F.min_by("price_last_prev", "trade_us")).alias("asset_return"), F.sum("quote_abs").alias("quote_abs"),
         F.sum(F.when(F.col("is_long"), F.col("quote_abs")).otherwise(0.0)).alias("quote_long"), F.sum("slippage_abs").alias("slippage"), F.count("*").alias("num_trades"),
     )
 
@@ -58,7 +58,7 @@ def cross_sections(trades: DataFrame, events: DataFrame, lookbacks: dict[str, in
         q = pick("quantity_abs")
         n, low = F.count(q), F.min(q)
         alpha = F.when(low < F.max(q), 1 + safe_div(n, F.sum(F.ln(q)) - n * F.ln(low)))
-        first = F.min_by(F.struct("price_last_prev"), pick("trade_us"))["price_last_prev"]
+        first = F.min_by("price_last_prev", pick("trade_us"))
         return {
             "asset_return": bps(F.max_by("price_last", pick("trade_us")), F.when(n > 0, first)), "share_of_long_trades": F.avg(pick("is_long").cast("double")), "powerlaw_alpha": alpha,
             "slippage_imbalance": safe_div(F.sum(pick("slippage_sign")), F.sum(pick("slippage_abs"))), "flow_imbalance": safe_div(F.sum(pick("quote_sign")), F.sum(pick("quote_abs"))), "num_trades": n,

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from tickloom.bounds import Bounds
 from tickloom.functions.features import adjusted_return
-from tickloom.functions.scalar import clip, from_micros, grid_round, keep_finite, safe_div, side_sign
+from tickloom.functions.scalar import clip, epoch_to_time, from_micros, grid_round, keep_finite, safe_div, side_sign
 from tickloom.operators import crosssection as cs
 from tickloom.operators import instruments, model, panel, pumps, windows
 from tickloom.operators import trades as tr
 from tickloom.plans import adapters as ad
 from tickloom.plans.adapters import BUCKETED_SQL, EVENTS_SQL, FEATURES_SQL, FIRST_US, GRID_SQL, HOUR_US, LAST_US, LINES_SQL, RETURN_SQL, near, table
+from tickloom.schema import FeatureSet
 from tickloom.streaming.candles import candles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -212,8 +213,8 @@ def symbols_endswith_distinct(spark, sf):
     return ad.event_ticks(spark, sf).where(bounds.predicate() & F.col("symbol").endswith("k")).select("symbol").distinct()
 
 
-_LOOK = {"1H": HOUR_US, "12H": 12 * HOUR_US, "1D": 24 * HOUR_US, "7D": 168 * HOUR_US}
-_AIM = {"60MIN": HOUR_US, "300MIN": 5 * HOUR_US}
+_LOOK = pumps.LOOKBACKS
+_AIM = {f"{k}0MIN": 10 * w for k, w in zip(range(1, 6), pumps.TARGETS.values(), strict=True)}
 
 
 def _pump_events(spark, sf):
@@ -254,7 +255,7 @@ def pump_cross_section(spark, sf):
 
 
 _AT = FIRST_US + 20 * 24 * HOUR_US
-_OFFSETS = {"1d": 24 * HOUR_US, "7d": 168 * HOUR_US}
+_OFFSETS = {f"{d}d": d * 24 * HOUR_US for d in (1, 2, 3, 4, 5, 7, 10, 14, 20)}
 
 
 @query(
@@ -476,3 +477,77 @@ def stream_candles(spark, sf):
 def hours_without_longs(spark, sf):
     trades = ad.event_trades(spark, sf).withColumn("sampled_time", from_micros(windows.bucket(F.col("trade_us"), HOUR_US) * HOUR_US))
     return trades.select("exchange", "symbol", "sampled_time").distinct().exceptAll(trades.where("is_long").select("exchange", "symbol", "sampled_time").distinct())
+
+
+@query(f"WITH {BUCKETED_SQL} SELECT exchange, symbol, make_timestamp((b - 1) * {HOUR_US}) AS window_start, make_timestamp(b * {HOUR_US}) AS window_end, count(*) AS num_trades FROM b GROUP BY exchange, symbol, b")
+def window_edges(spark, sf):
+    out = windows.with_edges(windows.tumbling(ad.event_trades(spark, sf), HOUR_US), HOUR_US)
+    return out.select("exchange", "symbol", "window_start", "window_end", "num_trades")
+
+
+@query("SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-20 06:00:00' THEN 'train' WHEN ts <= TIMESTAMP '2024-01-25 12:30:00' THEN 'validation' ELSE 'test' END AS split FROM events")
+def time_split(spark, sf):
+    at = lambda *x: F.lit(datetime(2024, 1, *x)).cast("timestamp_ntz")
+    return panel.split_at(table(spark, sf, "events"), at(20, 6), at(25, 12, 30), "ts").select("event_id", "split")
+
+
+@query("SELECT c_custkey, c_name, n_name AS c_mktsegment, n_regionkey FROM customer LEFT JOIN (SELECT n_nationkey AS c_nationkey, n_name, n_regionkey FROM nation) USING (c_nationkey)")
+def override_columns(spark, sf):
+    """Of columns that both tables have, the right one's."""
+    right = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_mktsegment"), "n_regionkey")
+    return panel.override(table(spark, sf, "customer"), right, ["c_nationkey"]).select("c_custkey", "c_name", "c_mktsegment", "n_regionkey")
+
+
+@query("SELECT o_orderkey, make_timestamp(CASE WHEN o_orderdate < DATE '1996-01-01' THEN o_orderkey * 1000 ELSE o_orderkey END) AS moment, make_timestamp(o_orderkey * 1000) AS millis, strftime(o_orderdate, '%Y%m') AS month, o_orderdate::DATE - INTERVAL 1 DAY = last_day(o_orderdate::DATE - INTERVAL 1 DAY) AS first_of_month FROM orders")
+def epoch_times(spark, sf):
+    """Milliseconds, or microseconds from a day on, as times; months and their ends."""
+    day = F.to_date("o_orderdate")
+    shifted = F.date_add(day, 10_593)  # 1996-01-01 becomes the day from which epochs are microseconds
+    before = F.date_sub(day, 1)
+    orders = table(spark, sf, "orders")
+    return orders.select("o_orderkey", epoch_to_time(F.col("o_orderkey").cast("bigint"), shifted).alias("moment"), epoch_to_time(F.col("o_orderkey").cast("bigint")).alias("millis"), F.date_format(day, "yyyyMM").alias("month"), (before == F.last_day(before)).alias("first_of_month"))
+
+
+_SPAN = Bounds.for_days(datetime(2023, 12, 18).date(), datetime(2024, 3, 6).date())
+
+
+@query(
+    "SELECT 'day' AS kind, strftime(d, '%Y-%m-%d') AS name FROM generate_series(TIMESTAMP '2023-12-18', TIMESTAMP '2024-03-05', INTERVAL 1 DAY) AS s(d) UNION ALL SELECT DISTINCT 'month', strftime(d, '%Y%m') FROM generate_series(TIMESTAMP '2023-12-18', TIMESTAMP '2024-03-05', INTERVAL 1 DAY) AS s(d)"
+    " UNION ALL SELECT 'whole', m FROM (VALUES ('202401'), ('202402')) AS v(m) UNION ALL SELECT 'part', strftime(d, '%Y-%m-%d') FROM generate_series(TIMESTAMP '2023-12-18', TIMESTAMP '2024-03-05', INTERVAL 1 DAY) AS s(d) WHERE month(d) IN (12, 3)"
+    " UNION ALL SELECT 'padded', '2023-12-17 21:00:00..2024-03-06 00:59:59' UNION ALL SELECT 'after', '2024-03-05 23:59:59..2024-03-06 01:59:59'"
+)
+def calendar_pieces(spark, sf):
+    """Days, months, whole months with the days around them, padded and following intervals."""
+    head, whole, tail = _SPAN.month_chunks()
+    rows = [("day", str(d)) for d in _SPAN.days()] + [("month", m) for m in _SPAN.months()] + [("whole", m) for m in whole] + [("part", str(d)) for d in [*head, *tail]]
+    rows += [("padded", str(_SPAN.padded(timedelta(hours=3), timedelta(hours=1)))), ("after", str(_SPAN.shifted(timedelta(hours=2))))]
+    return spark.createDataFrame(rows, "kind string, name string")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.none') AS none FROM events")
+def event_props(spark, sf):
+    parsed = F.from_json("props", "k BIGINT, none STRING")
+    return table(spark, sf, "events").select("event_id", parsed["k"].alias("k"), parsed["none"].alias("none"))
+
+
+@query(f"WITH {RETURNS_SQL} SELECT section, asset, past, realised FROM rets WHERE NOT (coalesce(past, 1) = 0 AND coalesce(realised, 1) = 0) AND past BETWEEN -0.5 AND 0.5")
+def informative_rows(spark, sf):
+    return cs.informative(_returns(spark, sf), ["past", "realised"], 0.5)
+
+
+@query(f"WITH {RETURNS_SQL}, r AS (SELECT section, asset, past FROM rets WHERE past IS NOT NULL) SELECT 'head' AS part, * FROM (SELECT * FROM r ORDER BY past DESC, asset LIMIT 7) UNION ALL SELECT 'tail', * FROM (SELECT * FROM r ORDER BY past, asset DESC LIMIT 7)")
+def head_and_tail(spark, sf):
+    r = _returns(spark, sf).where("past is not null").select("section", "asset", "past").withColumn("tie", F.concat_ws("|", "asset", F.format_string("%06d", "section")))
+    parts = [cs.top_k(r, "past", 7, "tie").withColumn("part", F.lit("head")), cs.last_k(r, "past", 7, "tie").withColumn("part", F.lit("tail"))]
+    return parts[0].unionByName(parts[1]).drop("tie")
+
+
+@query(f"WITH {TARGET_SQL} SELECT close_price, b AS step, output FROM t WHERE output IS NOT NULL AND close_price IS NOT NULL")
+def merged_samples(spark, sf):
+    """Datasets of two venues, merged split by split and united: every usable row once, of the feature set's columns."""
+    rows = panel.usable(panel.forward_return(_closes(spark, sf), 3), "output", ["close_price"]).withColumn("step", F.col("b"))
+    features = FeatureSet(("close_price",), "output", evaluation=("step",))
+    split = panel.chronological_split(rows, 0.7, 0.2, 0.1, ("exchange", "symbol"), ("b",))
+    samples = [{s: (split.where((F.col("exchange") == e) & (F.col("split") == s)), features) for s in ("train", "validation", "test")} for e in ("X0", "X1")]
+    merged = panel.merge_samples(samples)
+    return panel.union_datasets([merged[s] for s in ("train", "validation", "test")])[0]
