@@ -79,9 +79,9 @@ def _weighted_cut(rows: DataFrame, targets: DataFrame, n: int, bits: int) -> Dat
         digit = F.shiftright("key", shift).bitwiseAND(F.lit((1 << _DIGIT) - 1)).alias("digit")
         sums = near.groupBy("node", "target", "at", "before", digit).agg(F.sum("size").alias("here"))
         running = F.sum("here").over(Window.partitionBy("node").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0))
-        reached = sums.withColumn("sum", F.col("before") + running).where("sum >= target")
-        best = reached.groupBy("node").agg(F.min(F.struct("digit", "target", "at", "sum", "here")).alias("x"))
-        state = cut(best.select("node", "x.target", (F.shiftleft("x.at", _DIGIT) + F.col("x.digit")).alias("at"), (F.col("x.sum") - F.col("x.here")).alias("before"), "x.here"))
+        # Sizes are positive, so one digit of a node takes the running sum to its target.
+        reached = sums.withColumn("sum", F.col("before") + running).where("sum >= target and sum - here < target")
+        state = cut(reached.select("node", "target", (F.shiftleft("at", _DIGIT) + F.col("digit")).alias("at"), (F.col("sum") - F.col("here")).alias("before"), "here"))
     return state
 
 
@@ -124,7 +124,7 @@ def kd_shards(docs: DataFrame, n_shards: int | None = None, target_bytes: int |
         if not target_bytes:
             raise ValueError("give n_shards or target_bytes")
         n_shards = max(1, -(-(total["s"] or 0) // target_bytes))
-    rows = points.withColumns({"node": F.lit(0).cast("bigint"), "leaves": F.lit(n_shards).cast("bigint")})
+    rows = cut(points.withColumns({"node": F.lit(0).cast("bigint"), "leaves": F.lit(n_shards).cast("bigint")}))
     for _ in range((n_shards - 1).bit_length() if total["n"] else 0):
         cuts, n = _split_level(rows, n_dims, tolerance)
         key = F.coalesce(*[F.when(F.col("dim") == i, F.col(f"k{i}")) for i in range(n_dims)])
