@@ -217,9 +217,9 @@ def log_of(conversations: DataFrame) -> DataFrame:
     """EVENTS that lead to a table of finished turns (conv_id, turn, role, text), in the order of turn, as a session would have logged them.
 
     Of each turn: a draft, its regeneration, a first delta with a slip, the edit that mends it, a delta with the rest, and a second message that is
-    deleted. Repeated rows are messages of their own; null roles and texts are empty.
+    deleted. Repeated rows are messages of their own; null roles and texts are empty, null turns come first.
     """
-    turn, text = F.col("turn").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    turn, text = F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 40))), F.coalesce(F.col("text").cast("string"), F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
     start, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.length(text))
     numbered = conversations.withColumn("_row", F.monotonically_increasing_id())

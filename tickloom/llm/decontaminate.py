@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tickloom.llm.common import as_texts, byte_texts, cut, mapped
 
@@ -383,14 +384,14 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.8, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs, with the text of every hit span cut out; a document with a larger share of its words hit than max_coverage goes.
 
-    A span is cut from its first word to its last, with what stands between; the rest stays as it is, and n_chars, if there is one, follows the
-    text. Documents without a hit, null and empty texts among them, are returned unchanged, with all columns of docs; repeated rows each. Columns of docs
+    A span is cut from its first word to its last, with what stands between; the rest stays as it is, and a whole number n_chars, if there is one,
+    follows the text. Documents without a hit, null and empty texts among them, are returned unchanged, with all columns of docs; repeated rows each. Columns of docs
     may have any names. Empty tables and items as for find_contamination.
     """
     names, (only, blocks) = docs.columns, _one_or_more(benchmark, block_words)
     held = [f"_c{i}" for i in range(len(names))]
     renamed, at = docs.toDF(*held), names.index("text")
-    chars = names.index("n_chars") if "n_chars" in names else None
+    chars = names.index("n_chars") if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, IntegralType) else None
     renamed = renamed.withColumn(held[at], F.col(held[at]).cast("string"))
     fields = renamed.schema
 

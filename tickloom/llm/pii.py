@@ -17,6 +17,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tickloom.llm.common import cut
 from tickloom.llm.labelmodel import Belief, fit
@@ -202,7 +203,7 @@ def digest(spans: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; of overlapping spans the first, and of those that start together the longest, covers.
 
-    All columns and rows stay, repeated rows and null ids too; null texts stay null, an empty table empty; n_chars, if there is one, follows the text. Texts are
+    All columns and rows stay, repeated rows and null ids too; null texts stay null, an empty table empty; a whole number n_chars, if there is one, follows a text that changes. Texts are
     read twice, for training and for the result, so that they are neither written nor shuffled between.
     """
     names, held = docs.columns, [f"_c{i}" for i in range(len(docs.columns))]
@@ -219,7 +220,8 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     some = " or ".join(f"size(s_{k}) > 0" for k in KINDS)
     done = spans.withColumn("text", F.expr(f"case when {some} then {fold} else text end"))
     out = [F.col("text").alias(n) if i == at else F.col(c).alias(n) for i, (c, n) in enumerate(zip(held, names, strict=True))]
-    if "n_chars" in names:
+    if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, IntegralType):
         k = names.index("n_chars")
-        out[k] = F.char_length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+        changed = F.col("text") != F.col(held[at]).cast("string")
+        out[k] = F.when(changed, F.char_length("text")).otherwise(F.col(held[k])).cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return done.select(*out)
