@@ -17,6 +17,7 @@ from tickloom.operators import trades as tr
 from tickloom.plans import adapters as ad
 from tickloom.plans.adapters import BUCKETED_SQL, EVENTS_SQL, FEATURES_SQL, FIRST_US, GRID_SQL, HOUR_US, LAST_US, LINES_SQL, RETURN_SQL, near, table
 from tickloom.schema import FeatureSet
+from tickloom.sources import ingest, scratch
 from tickloom.streaming.candles import candles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -551,3 +552,40 @@ def merged_samples(spark, sf):
     samples = [{s: (split.where((F.col("exchange") == e) & (F.col("split") == s)), features) for s in ("train", "validation", "test")} for e in ("X0", "X1")]
     merged = panel.merge_samples(samples)
     return panel.union_datasets([merged[s] for s in ("train", "validation", "test")])[0]
+
+
+_SOME_DAYS = Bounds.for_days(datetime(2024, 1, 3).date(), datetime(2024, 1, 6).date())
+
+
+@query(f"WITH {EVENTS_SQL} SELECT exchange, date, symbol, trade_id, trade_time, price, quantity, is_buyer_maker FROM ticks WHERE date BETWEEN DATE '2024-01-03' AND DATE '2024-01-05' AND symbol IN ('click', 'view')")
+def stored_ticks(spark, sf):
+    """Ticks written by exchange, date and symbol in two overlapping runs, and read by days and symbols."""
+    root = scratch.folder(spark, "ticks")
+    ticks = ad.event_ticks(spark, sf).where(F.col("date").between("2024-01-01", "2024-01-08"))
+    for days in (("2024-01-01", "2024-01-05"), ("2024-01-04", "2024-01-08")):
+        ingest.write_ticks(ticks.where(F.col("date").between(*days)), root)
+    names = ("exchange", "date", "symbol", "trade_id", "trade_time", "price", "quantity", "is_buyer_maker")
+    return ingest.read_ticks(spark, root, _SOME_DAYS, ["click", "view"]).select(*names)
+
+
+@query(
+    f"WITH {GRID_SQL}, f AS (SELECT exchange, symbol, b, {FEATURES_SQL} FROM b GROUP BY exchange, symbol, b), x AS (SELECT g.exchange, g.symbol, make_timestamp(g.b * {HOUR_US}) AS sampled_time, coalesce(f.asset_return, 0.0) AS asset_return, f.flow_imbalance FROM grid g LEFT JOIN f USING (exchange, symbol, b))"
+    " SELECT exchange, symbol, sampled_time, CASE WHEN symbol = 'view' AND day(sampled_time) = 4 THEN NULL ELSE asset_return END AS asset_return, CASE WHEN symbol = 'view' AND day(sampled_time) = 4 THEN NULL ELSE flow_imbalance END AS flow_imbalance FROM x WHERE sampled_time >= TIMESTAMP '2024-01-03' AND sampled_time < TIMESTAMP '2024-01-06'"
+)
+def stored_features(spark, sf):
+    """Features written by day, of which one instrument's day is short, and read as whole days: the short one is missing."""
+    root = scratch.folder(spark, "features")
+    out = rounded(windows.sampled(ad.event_trades(spark, sf), HOUR_US, [1], FIRST_US, LAST_US), "flow_imbalance")
+    short = (F.col("symbol") == "view") & (F.col("sampled_time") == F.lit(datetime(2024, 1, 4, 7)).cast("timestamp_ntz"))
+    ingest.write_features(out.where(~short).select("exchange", "symbol", "sampled_time", "window_ms", "asset_return", "flow_imbalance"), root)
+    return ingest.read_features(spark, root, _SOME_DAYS, 24).select("exchange", "symbol", "sampled_time", "asset_return", "flow_imbalance")
+
+
+@query(f"WITH {GAINS_SQL}, s AS (SELECT feature, {near('sum(gain)', 3)} AS importance FROM gains GROUP BY feature), f AS (SELECT feature, importance, row_number() OVER (ORDER BY importance DESC, feature) <= 25 AS allowed FROM s) SELECT * FROM f")
+def stored_importances(spark, sf):
+    """Importances written in order and read again, with the filter of the first 25."""
+    path = scratch.folder(spark, "importances")
+    total = rounded(_gains(spark, sf).groupBy("feature").agg(F.sum("gain").alias("importance")), "importance", digits=3)
+    ingest.write_table(total, path, F.desc("importance"))
+    chosen = ingest.first_features(spark, path, 25)
+    return ingest.read_importances(spark, path).withColumn("allowed", F.col("feature").isin(sorted(chosen.names)))
