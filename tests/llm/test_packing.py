@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tickloom.llm import packing as p
 
@@ -13,8 +14,17 @@ def test_cached_encoder_equals_tokenizer():
     rng = random.Random(1)
     parts = ["the", "it's", "É", "日本", " ", " ", " ", "\n", "\t", "  ", "12", "a1!", " ", " ", "<|endoftext|>", "'ll", "\x1c", "\r\n"]
     texts = ["", " ", "a ", " a", "a  b", "a   b", "a \n b", "\t \t b"] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(3000)]
-    got = [np.frombuffer(x, "<u4").tolist() for x in p.Encoder(p.default_tokenizer()).encode(texts)]
-    assert got == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    got = [np.frombuffer(x, "<u4").tolist() for x in p.Encoder(p.default_tokenizer()).encode(pa.array(texts))]
+    expected = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert got == expected
+    # A slice of a batch, as chunks are, and a cache that turns over.
+    encoder = p.Encoder(p.default_tokenizer())
+    encoder._later._old, p.CACHE_ENTRIES, before = {}, 20, p.CACHE_ENTRIES
+    try:
+        for a in range(0, 600, 50):
+            assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts).slice(a, 50))] == expected[a : a + 50]
+    finally:
+        p.CACHE_ENTRIES = before
 
 
 def test_pieces(spark):

@@ -14,7 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, filterfalse
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -33,9 +33,9 @@ GROUP_ROWS = 50_000
 #: A round that saves a smaller share than this of the bins it was given is the last.
 LEAST_GAIN = 0.001
 #: Entries of a generation of a worker's word cache, which a partition's end empties.
-CACHE_ENTRIES = 150_000
-#: Rows and bytes that are encoded at once: words are Python strings and take ten times their bytes.
-_CHUNK_ROWS, _CHUNK_BYTES = 500, 2 << 20
+CACHE_ENTRIES = 300_000
+#: Rows and bytes that are encoded at once.
+_CHUNK_ROWS, _CHUNK_BYTES = 500, 3 << 19
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -75,18 +75,39 @@ class Encoder:
         odd = [w for w in words if not w or w[0].isspace()]
         yield from zip(odd, (x.tobytes() for x in self._encode([" " + w for w in odd])), strict=True)
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [x.split(" ") for x in texts]
-        if any(not w or w[0].isspace() for w in set(chain.from_iterable(split))):
-            split = [None if self._RUN.search(x) else words for x, words in zip(texts, split, strict=True)]
-        heads = [x[0] if x else "" for x in split]
-        tails = [x[1:] if x else [] for x in split]
-        first = self._first.holding(set(heads), lambda words: zip(words, (x.tobytes() for x in self._encode(words)), strict=True))
-        later = self._later.holding(set(chain.from_iterable(tails)), self._encode_later).__getitem__
-        for text, words, head, tail in zip(texts, split, heads, tails, strict=True):
-            yield first[head] + b"".join(map(later, tail)) if words else self._encode([text])[0].tobytes()
-
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text (none of them null) as little-endian unsigned 32-bit integers.
+
+        Texts are split and their distinct words numbered in Arrow; only those become Python objects.
+        """
+        split = pc.split_pattern(texts, " ")
+        bounds, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
+        number, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        n = len(words)
+        head = np.zeros(len(number), bool)
+        head[bounds[:-1]] = True
+        odd = np.fromiter((not w or w[0].isspace() for w in words), bool, n)
+        whole = {}
+        for k in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[number]), side="right") - 1).tolist():
+            text = texts[k].as_py()
+            if self._RUN.search(text):
+                whole[k] = self._encode([text])[0].tobytes()
+                number[bounds[k] : bounds[k + 1]] = -1
+        # A word's ids differ where it begins a text, so there it has a number of its own.
+        number[head & (number >= 0)] += n
+        used = np.unique(number)
+        used = used[used >= 0].tolist()
+        first = self._first.holding({words[k - n] for k in used if k >= n}, lambda new: zip(new, (x.tobytes() for x in self._encode(new)), strict=True))
+        later = self._later.holding({words[k] for k in used if k < n}, self._encode_later)
+        parts = [first[words[k - n]] if k >= n else later[words[k]] for k in used]
+        sizes, starts = np.zeros(2 * n + 1, np.int64), np.zeros(2 * n + 1, np.int64)
+        sizes[used] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts[used] = np.cumsum(sizes[used]) - sizes[used]
+        ids, count = np.frombuffer(b"".join(parts), "<u4"), sizes[number]
+        ends = np.concatenate(([0], np.cumsum(count)))
+        out = ids[np.repeat(starts[number] - ends[:-1], count) + np.arange(ends[-1])]
+        for k, (a, b) in enumerate(zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True)):
+            yield whole[k] if k in whole else out[a:b].tobytes()
 
     def clear(self) -> None:
         self._first, self._later = WordCache(), WordCache()
@@ -132,7 +153,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
 
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, rows = batch.column(0).to_pylist(), []
-        texts = pc.fill_null(batch.column(1), "").to_pylist()
+        texts = pc.fill_null(batch.column(1), "")
         for doc_id, coded in zip(ids, _encoder(path).encode(texts), strict=True):
             coded += end
             n, start, k = len(coded) // 4, 0, 0
