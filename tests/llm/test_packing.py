@@ -19,7 +19,7 @@ def test_cached_encoder_equals_tokenizer():
     assert got == expected
     # A slice of a batch, as chunks are, and a cache that turns over.
     encoder = p.Encoder(p.default_tokenizer())
-    encoder._later._old, p.CACHE_ENTRIES, before = {}, 20, p.CACHE_ENTRIES
+    before, p.CACHE_ENTRIES = p.CACHE_ENTRIES, 20
     try:
         for a in range(0, 600, 50):
             assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(texts).slice(a, 50))] == expected[a : a + 50]

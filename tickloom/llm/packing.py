@@ -13,8 +13,8 @@ import functools
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterable, Iterator
-from itertools import filterfalse
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,8 +32,8 @@ END_ID = 0
 GROUP_ROWS = 50_000
 #: A round that saves a smaller share than this of the bins it was given is the last.
 LEAST_GAIN = 0.001
-#: Entries of a generation of a worker's word cache, which a partition's end empties.
-CACHE_ENTRIES = 300_000
+#: Entries of a worker's word cache, which a partition's end empties.
+CACHE_ENTRIES = 400_000
 #: Rows and bytes that are encoded at once.
 _CHUNK_ROWS, _CHUNK_BYTES = 500, 3 << 19
 
@@ -41,6 +41,51 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
 
 
+class _Grown:
+    """A numpy array that is added to at its end."""
+
+    def __init__(self, dtype: str) -> None:
+        self._held, self.size = np.zeros(1 << 12, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self._held):
+            self._held = np.concatenate((self._held[: self.size], np.zeros(max(need, 2 * self.size) - self.size, self._held.dtype)))
+        self._held[self.size : need] = values
+        self.size = need
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._held[: self.size]
+
+
+class WordCache:
+    """The ids of words, all in one array. When it is full it begins anew."""
+
+    def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]]) -> None:
+        self._encode = encode
+        self.clear()
+
+    def clear(self) -> None:
+        self._row: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = _Grown("<u4"), _Grown("i8"), _Grown("i4")
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The rows of distinct words in starts and sizes."""
+        if len(self._row) > CACHE_ENTRIES:
+            self.clear()
+        out = np.fromiter(map(self._row.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            new, ids, sizes = self._encode([words[k] for k in missing.tolist()])
+            self._row.update(zip(new, range(self.sizes.size, self.sizes.size + len(new)), strict=True))
+            self.starts.add(self.ids.size + np.cumsum(sizes) - sizes)
+            self.sizes.add(sizes)
+            self.ids.add(ids)
+            out[missing] = np.fromiter(map(self._row.__getitem__, (words[k] for k in missing.tolist())), np.int64, len(missing))
+        return out
+
+
 class Encoder:
     """Byte-level BPE of whole texts, word by word through a cache.
 
@@ -59,21 +104,31 @@ class Encoder:
         vocabulary = self._tokenizer.get_vocab()
         self._after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self._after_space[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True  # how byte-level BPE writes a space
-        self._first, self._later = WordCache(), WordCache()
+        self._first, self._later = WordCache(self._alone), WordCache(self._after)
+
+    def clear(self) -> None:
+        self._first.clear()
+        self._later.clear()
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         batch = getattr(self._tokenizer, "encode_batch_fast", self._tokenizer.encode_batch)
         return [np.array(x.ids, "<u4") for x in batch(texts, add_special_tokens=False)]
 
-    def _encode_later(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words, each after a space. Many share a call: only a word's first token starts with a space."""
-        plain = [w for w in words if w and not w[0].isspace()]
-        parts = [plain[a : a + 64] for a in range(0, len(plain), 64)]
-        for part, ids in zip(parts, self._encode([" " + " ".join(x) for x in parts]), strict=True):
-            coded, starts = ids.tobytes(), (4 * np.flatnonzero(self._after_space[ids])).tolist()
-            yield from zip(part, map(coded.__getitem__, map(slice, starts, [*starts[1:], len(coded)])), strict=True)
+    def _alone(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words that begin a text."""
+        found = self._encode(words)
+        return words, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _after(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words after a space. Many share a call: only a word's first token starts with a space."""
         odd = [w for w in words if not w or w[0].isspace()]
-        yield from zip(odd, (x.tobytes() for x in self._encode([" " + w for w in odd])), strict=True)
+        plain = [w for w in words if w and not w[0].isspace()] if odd else words
+        ids = np.concatenate([np.zeros(0, "<u4"), *self._encode([" " + " ".join(plain[a : a + 64]) for a in range(0, len(plain), 64)])])
+        sizes = np.diff(np.append(np.flatnonzero(self._after_space[ids]), len(ids)))
+        if odd:
+            alone = self._encode([" " + w for w in odd])
+            ids, sizes = np.concatenate([ids, *alone]), np.concatenate([sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
+        return [*plain, *odd], ids, sizes
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text (none of them null) as little-endian unsigned 32-bit integers.
@@ -84,52 +139,41 @@ class Encoder:
         bounds, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
         number, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
         n = len(words)
-        head = np.zeros(len(number), bool)
-        head[bounds[:-1]] = True
         odd = np.fromiter((not w or w[0].isspace() for w in words), bool, n)
         whole = {}
         for k in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[number]), side="right") - 1).tolist():
             text = texts[k].as_py()
             if self._RUN.search(text):
                 whole[k] = self._encode([text])[0].tobytes()
-                number[bounds[k] : bounds[k + 1]] = -1
-        # A word's ids differ where it begins a text, so there it has a number of its own.
-        number[head & (number >= 0)] += n
-        used = np.unique(number)
-        used = used[used >= 0].tolist()
-        first = self._first.holding({words[k - n] for k in used if k >= n}, lambda new: zip(new, (x.tobytes() for x in self._encode(new)), strict=True))
-        later = self._later.holding({words[k] for k in used if k < n}, self._encode_later)
-        parts = [first[words[k - n]] if k >= n else later[words[k]] for k in used]
-        sizes, starts = np.zeros(2 * n + 1, np.int64), np.zeros(2 * n + 1, np.int64)
-        sizes[used] = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        starts[used] = np.cumsum(sizes[used]) - sizes[used]
-        ids, count = np.frombuffer(b"".join(parts), "<u4"), sizes[number]
-        ends = np.concatenate(([0], np.cumsum(count)))
-        out = ids[np.repeat(starts[number] - ends[:-1], count) + np.arange(ends[-1])]
-        for k, (a, b) in enumerate(zip(ends[bounds[:-1]].tolist(), ends[bounds[1:]].tolist(), strict=True)):
+                number[bounds[k] : bounds[k + 1]] = n
+        # A word's ids differ where it begins a text.
+        heads = bounds[:-1]
+        initial = np.unique(number[heads])
+        initial = initial[initial < n]
+        later = np.ones(len(number), bool)
+        later[heads] = False
+        needed = np.zeros(n + 1, bool)
+        needed[number[later]] = True
+        needed = np.flatnonzero(needed[:n])
+        place = {}
+        for name, cache, used in (("first", self._first, initial), ("later", self._later, needed)):
+            rows = np.zeros(n + 1, np.int64)
+            rows[used] = cache.rows([words[k] for k in used.tolist()])
+            place[name] = rows
+        size, start = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+        held = self._later
+        here = np.flatnonzero(later & (number < n))
+        rows = place["later"][number[here]]
+        size[here], start[here] = held.sizes.values[rows], held.starts.values[rows]
+        here = heads[number[heads] < n]
+        rows = place["first"][number[here]]
+        size[here], start[here] = self._first.sizes.values[rows], held.ids.size + self._first.starts.values[rows]
+        ids = np.concatenate((held.ids.values, self._first.ids.values))
+        ends = np.concatenate(([0], np.cumsum(size)))
+        out = ids[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+        for k, (a, b) in enumerate(zip(ends[heads].tolist(), ends[bounds[1:]].tolist(), strict=True)):
             yield whole[k] if k in whole else out[a:b].tobytes()
 
-    def clear(self) -> None:
-        self._first, self._later = WordCache(), WordCache()
-
-
-class WordCache:
-    """Two generations: when the younger is full it becomes the older, whose words are taken over as they are used again."""
-
-    def __init__(self) -> None:
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def holding(self, words: set[str], make: Callable[[list[str]], Iterable[tuple[str, bytes]]]) -> dict[str, bytes]:
-        """A dictionary with all of words."""
-        if len(self._young) > CACHE_ENTRIES:
-            self._old, self._young = self._young, {}
-        young, old = self._young, self._old
-        missing = list(filterfalse(young.__contains__, words))
-        young.update((w, old[w]) for w in missing if w in old)
-        young.update(make(list(filterfalse(young.__contains__, missing))))
-        return young
-
 
 @functools.lru_cache(1)
 def _encoder(path: str) -> Encoder:
