@@ -34,8 +34,10 @@ GROUP_ROWS = 50_000
 LEAST_GAIN = 0.001
 #: Entries of a worker's word cache, which a partition's end empties.
 CACHE_ENTRIES = 400_000
+#: Words that share a call of the tokenizer.
+_SHARED = 256
 #: Rows and bytes that are encoded at once.
-_CHUNK_ROWS, _CHUNK_BYTES = 500, 3 << 19
+_CHUNK_ROWS, _CHUNK_BYTES = 1000, 3 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
@@ -123,13 +125,25 @@ class Encoder:
         """Words after a space. Many share a call: only a word's first token starts with a space."""
         odd = [w for w in words if not w or w[0].isspace()]
         plain = [w for w in words if w and not w[0].isspace()] if odd else words
-        ids = np.concatenate([np.zeros(0, "<u4"), *self._encode([" " + " ".join(plain[a : a + 64]) for a in range(0, len(plain), 64)])])
+        ids = np.concatenate([np.zeros(0, "<u4"), *self._encode([" " + " ".join(plain[a : a + _SHARED]) for a in range(0, len(plain), _SHARED)])])
         sizes = np.diff(np.append(np.flatnonzero(self._after_space[ids]), len(ids)))
         if odd:
             alone = self._encode([" " + w for w in odd])
             ids, sizes = np.concatenate([ids, *alone]), np.concatenate([sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
         return [*plain, *odd], ids, sizes
 
+    @staticmethod
+    def _odd(held: pa.Array, words: list[str]) -> np.ndarray:
+        """Which words are empty or begin with white space. Those that begin with a visible ASCII character aren't looked at."""
+        offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1]
+        data = np.frombuffer(held.buffers()[2] or b"", np.uint8)
+        out = offsets[1:] == offsets[:-1]
+        full = np.flatnonzero(~out)
+        first = data[offsets[full]]
+        for k in full[(first <= 32) | (first >= 127)].tolist():
+            out[k] = words[k][0].isspace()
+        return out
+
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text (none of them null) as little-endian unsigned 32-bit integers.
 
@@ -138,9 +152,8 @@ class Encoder:
         split = pc.split_pattern(texts, " ")
         bounds, coded = split.offsets.to_numpy().astype(np.int64), split.values.dictionary_encode()
         number, words = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
-        n = len(words)
-        odd = np.fromiter((not w or w[0].isspace() for w in words), bool, n)
-        whole = {}
+        n, whole = len(words), {}
+        odd = self._odd(coded.dictionary, words)
         for k in np.unique(np.searchsorted(bounds, np.flatnonzero(odd[number]), side="right") - 1).tolist():
             text = texts[k].as_py()
             if self._RUN.search(text):
