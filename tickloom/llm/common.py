@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1000
 CHUNK_BYTES = 4 << 20
 #: Bytes of a record batch that Spark hands a Python worker, about; a single longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -112,6 +112,7 @@ def mapped(df: DataFrame, chunk: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             out = chunk(piece)
             if out is not None and out.num_rows:
                 yield out
+        piece = out = None
         if done is not None:
             done()
         release()
