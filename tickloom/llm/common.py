@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 CHUNK_ROWS = 1000
 CHUNK_BYTES = 4 << 20
 #: Bytes of a record batch that Spark hands a Python worker, about; a single longer row is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 3 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

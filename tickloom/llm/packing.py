@@ -33,11 +33,11 @@ GROUP_ROWS = 50_000
 #: A round that saves a smaller share than this of the bins it was given is the last.
 LEAST_GAIN = 0.001
 #: Entries of a worker's word cache, which a partition's end empties.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 400_000
 #: Words that share a call of the tokenizer.
 _SHARED = 256
 #: Rows and bytes that are encoded at once.
-_CHUNK_ROWS, _CHUNK_BYTES = 500, 3 << 19
+_CHUNK_ROWS, _CHUNK_BYTES = 1000, 4 << 20
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = PIECES + ", sequence_id bigint, offset bigint"
