@@ -1,18 +1,25 @@
-"""Near-duplicates by the Jaccard similarity of five-word shingles.
+"""Near-duplicates by SimHash with Golay-code fuzzy hashing, verified by the Jaccard similarity of five-word shingles.
 
-Min-hashes propose pairs, the shingles themselves decide. BANDS keys of ROWS min-hashes each bring a pair of similarity 0.8 together but for
-a chance of (1 - 0.8^5)^24, under one in ten thousand, and less above. Documents with the same shingles are one node.
+A document's fingerprint is the SimHash of its distinct shingles, of 23-bit segments. A bit of a pair of similarity 0.8 differs with a chance of 0.15, so no segment
+need be equal and none within a bit: each is decoded to the list of the Golay codewords within four bits of it, 5.3 on average, and a document is in the bucket of
+each. Two segments of such a pair share a bucket with a chance of 0.60, two at random with 0.007; SEGMENTS of them miss a pair with a chance under one in ten
+thousand, and less above 0.8. Bits of a few shingles differ more often (0.19 for four shingles of five), so short documents have SHORT_SEGMENTS.
+Documents with the same shingles are one node.
 
-Before texts meet, a pair's sketches do: four bits of each min-hash. A pair whose sketches differ in over MOST_APART of the BANDS * ROWS places isn't
-similar, but for a chance under one in a hundred thousand at similarity 0.8, and less above.
+In a bucket all fingerprints are held against each other; those that differ in over MOST_BITS_APART bits (FEW_BITS_APART, if one has under FEW shingles) aren't similar,
+but for a chance of about one in a hundred thousand at similarity 0.8. The shingles themselves decide. Before texts meet, a pair's sketches do: four bits of each of MIN_HASHES min-hashes. A pair whose sketches differ in over MOST_APART
+places isn't similar, but for a chance under one in a hundred thousand at similarity 0.8, and less above.
 
-Of the nodes that share a key, each is first tried against one hub, so a large group of near copies costs a link a node. Nodes that are then still outside
-the key's largest component are held against all nodes of the key, by one bit each of FINE further min-hashes, as a condition of the join: what passes is tried, so no pair that shares a key and could join two components stays untried but by
+Of the near nodes of a bucket, each is first tried against one leader, so a large group of near copies costs a link a node. Nodes that are then still near one of another
+component are held against each other, by one bit each of FINE min-hashes, as a condition of the join: what passes is tried, so no near pair of a bucket that could join two components stays untried but by
 a chance as above, and neither a group of copies nor a crowd of documents that are alike but not similar is made into pairs.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -22,16 +29,21 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.common import byte_texts, chunks, cut, keep_one, limit_batches, mapped, release, text_key
 from tickloom.llm.components import components
+from tickloom.llm.simhash import codeword_lists
 
 SIZE = 5
 LEAST_SIMILARITY = 0.8
-BANDS, ROWS = 24, 5
+#: 23-bit segments of a fingerprint; of documents of fewer than SHORT shingles.
+SEGMENTS, SHORT_SEGMENTS, SHORT = 11, 16, 64
+#: Bits of the first WORDS words of two fingerprints that may differ, a mean of 41 at most at similarity 0.8 and a deviation of 5.9; below FEW shingles 48 and 6.2.
+WORDS, MOST_BITS_APART, FEW, FEW_BITS_APART = 4, 68, 8, 76
+MIN_HASHES = 120
 SEED = 42
 #: Places of two sketches that may differ; the mean at similarity 0.8 is 22.5, with a deviation of 4.3.
 MOST_APART = 45
-#: Further min-hashes of nodes that their hubs don't settle, and places of them that may differ: the mean at similarity 0.8 is 205, with a deviation of 13.6.
+#: Min-hashes of nodes that their leaders don't settle, and places of them that may differ: the mean at similarity 0.8 is 205, with a deviation of 13.6.
 FINE, MOST_FINE_APART = 2048, 272
-#: Members of one key, or of one hub, are dealt to so many tasks.
+#: Partners of one node are dealt to so many tasks.
 SALTS = 32
 #: Nodes of one key that one task holds against those outside the key's largest component.
 CROWD = 5000
@@ -39,8 +51,10 @@ _CELLS = 1 << 19
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PLACES = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(SIZE)], np.uint64)
+_SALTS = np.random.default_rng(13).integers(0, 1 << 63, 16, np.uint64)
+_POWERS = 1 << np.arange(23)
 _FINE_FACTORS = np.random.default_rng(12).integers(0, 1 << 63, FINE, np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 63, MIN_HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +79,7 @@ def shingles(text: bytes | None) -> np.ndarray:
 
 
 def min_hashes(found: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS min-hashes of a set of shingles; all bits are set where there are none."""
+    """MIN_HASHES min-hashes of a set of shingles; all bits are set where there are none."""
     return _least(found, _FACTORS)
 
 
@@ -76,12 +90,21 @@ def _least(found: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """BANDS keys, each hashed from ROWS of the min-hashes."""
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = _mix(key ^ column) * _PLACES[0]
-    return key
+def fingerprint(found: np.ndarray) -> np.ndarray:
+    """SimHash bits of a set of shingles, WORDS words of them or as many as SHORT_SEGMENTS take: those set in over half of the shingles' further hashes."""
+    size = WORDS if len(found) >= SHORT else -(-SHORT_SEGMENTS * 23 // 64)
+    ones = np.zeros(64 * size, np.int64)
+    for a in range(0, len(found), 255):
+        bits = np.unpackbits(_mix(found[a : a + 255, None] ^ _SALTS[:size]).view(np.uint8), axis=1)
+        ones += bits.view(np.uint64).sum(0, dtype=np.uint64).view(np.uint8)  # eight counts of up to 255 a word
+    return 2 * ones > len(found)
+
+
+def golay_keys(bits: np.ndarray) -> np.ndarray:
+    """Buckets of a fingerprint's segments: number of the segment and index of a Golay codeword."""
+    n = SEGMENTS if len(bits) == 64 * WORDS else SHORT_SEGMENTS
+    lists = codeword_lists(bits[: 23 * n].reshape(n, 23) @ _POWERS)
+    return (lists | np.arange(n)[:, None] << 12)[lists >= 0]
 
 
 def sketch(least: np.ndarray) -> np.ndarray:
@@ -98,7 +121,7 @@ def fine_sketch(found: np.ndarray) -> np.ndarray:
 def places_apart(a: str, b: str) -> Column:
     """Places in which two sketches differ."""
     terms = []
-    for k in range(BANDS * ROWS // 15):
+    for k in range(MIN_HASHES // 15):
         x = f"({a}[{k}] ^ {b}[{k}])"
         pairs = f"({x} | shiftright({x}, 1))"
         terms.append(f"bit_count(({pairs} | shiftright({pairs}, 2)) & 1229782938247303441)")
@@ -115,20 +138,25 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST_SIMILARITY) -> bo
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, node, sketch, keys) of docs (doc_id, fp, text): node is a hash of the text's shingles."""
+    """(doc_id, fp, node, sketch, bits, keys, most) of docs (doc_id, fp, text): node is a hash of the text's shingles, bits the first words of its fingerprint,
+    most the bits that another's may differ in, keys its buckets."""
 
     def chunk(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, sketches, keys = [], [], []
+        node, sketches, bits, keys, most = [], [], [], [], []
         for text in byte_texts(batch):
             found = shingles(text)
-            least = min_hashes(found)
             node.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-            sketches.append(sketch(least))
-            keys.append(band_keys(least))
-        lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel().view(np.int64))) for x in (np.array(sketches), np.array(keys))]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), *lists], ["doc_id", "fp", "node", "sketch", "keys"])
+            sketches.append(sketch(min_hashes(found)))
+            print_ = fingerprint(found)
+            bits.append(np.packbits(print_[: 64 * WORDS]).view(np.uint64))
+            keys.append(golay_keys(print_))
+            most.append(MOST_BITS_APART if len(found) >= FEW else FEW_BITS_APART)
+        lists = [pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel().view(np.int64))) for x in (np.array(sketches), np.array(bits))]
+        ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+        lists.append(pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys).astype(np.int32))))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(node, np.uint64).view(np.int64)), *lists, pa.array(most, pa.int32())], ["doc_id", "fp", "node", "sketch", "bits", "keys", "most"])
 
-    return mapped(docs, chunk, "doc_id bigint, fp bigint, node bigint, sketch array<bigint>, keys array<bigint>")
+    return mapped(docs, chunk, "doc_id bigint, fp bigint, node bigint, sketch array<bigint>, bits array<bigint>, keys array<int>, most int")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
@@ -172,6 +200,127 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.toDF("x", "y").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _bits_near(bits: np.ndarray, most: np.ndarray, some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether fingerprints, the columns some and others of bits, are near."""
+    apart = np.zeros((len(some), len(others)), np.uint16)
+    for word in bits:
+        apart += np.bitwise_count(word[some, None] ^ word[others])
+    return apart <= np.maximum(most[some, None], most[others])
+
+
+def _sketches_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sketches, the columns of a and of b, are near; see places_apart."""
+    apart = np.zeros(a.shape[1], np.uint16)
+    for x, y in zip(a, b, strict=True):
+        pairs = x ^ y
+        pairs |= pairs >> np.uint64(1)
+        pairs |= pairs >> np.uint64(2)
+        apart += np.bitwise_count(pairs & np.uint64(0x1111111111111111))
+    return apart <= MOST_APART
+
+
+def led(bits: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (leader, other) between the columns of bits: one of each that is near any other, and more of leaders."""
+    n = bits.shape[1]
+    free, start, out = np.ones(n, bool), 0, [(np.zeros(0, np.int64),) * 2]
+    while start < n:
+        todo = start + np.flatnonzero(free[start:])[: max(1, _CELLS // n)]
+        if not len(todo):
+            break
+        # Those before start that are still free are near no other.
+        others = np.concatenate((np.flatnonzero(~free[:start]), np.arange(start, n)))
+        near = _bits_near(bits, most, todo, others)
+        near &= others != todo[:, None]
+        for i in np.flatnonzero(near.any(1)):
+            if free[todo[i]]:
+                free[todo[i]] = False
+                mates = others[near[i]]
+                fresh = mates[free[mates]]
+                free[fresh] = False
+                fresh = fresh if len(fresh) else mates[:1]
+                out.append((np.full(len(fresh), todo[i]), fresh))
+        start = todo[-1] + 1
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def straddling(bits: np.ndarray, most: np.ndarray, sketches: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which columns of bits and sketches are near one of another part in both."""
+    names, sizes = np.unique(part, return_counts=True)
+    found, every = np.zeros(len(part), bool), np.arange(len(part))
+    outside = np.flatnonzero(part != names[sizes.argmax()])
+    step = max(1, _CELLS // len(part))
+    for a in range(0, len(outside), step):
+        some = outside[a : a + step]
+        x, y = np.nonzero(_bits_near(bits, most, some, every) & (part[some, None] != part))
+        x = some[x]
+        good = _sketches_near(sketches[:, x], sketches[:, y])
+        found[x[good]] = found[y[good]] = True
+    return found
+
+
+def _in_buckets(members: DataFrame, run: Callable[[list[np.ndarray]], list[np.ndarray]], schema: str) -> DataFrame:
+    """Applies run to the columns of each bucket's rows; key is the first. A bucket is a codeword of a segment, which holds one node in 770 besides its copies' crowd."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def rows(held: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        return [run([np.concatenate(x) for x in zip(*held, strict=True)])] if sum(len(x[0]) for x in held) > 1 else []
+
+    def batch_of(done: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*done, strict=True)], names)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done = [], []  # pieces of the last bucket; what came of others
+        for batch in batches:
+            columns = [x.to_numpy() for x in batch.columns]
+            ends = [0, *(np.flatnonzero(np.diff(columns[0])) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for a, b in itertools.pairwise(ends):
+                piece = [x[a:b] for x in columns]
+                if held and held[-1][0][0] != piece[0][0]:
+                    done += rows(held)
+                    held = []
+                held.append(piece)
+            if done:
+                yield batch_of(done)
+                done = []
+        if done := rows(held):
+            yield batch_of(done)
+        release()
+
+    limit_batches(members.sparkSession)
+    return members.repartition("key").sortWithinPartitions("key").mapInArrow(each, schema)
+
+
+def _members(nodes: DataFrame, *more: Column | str) -> DataFrame:
+    """(key, node, most, words of bits, more) of nodes (node, bits, keys, most, more): a row for each bucket."""
+    return nodes.select(F.explode("keys").alias("key"), "node", "most", *(F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)), *more)
+
+
+def _words(columns: list[np.ndarray]) -> np.ndarray:
+    return np.array(columns).view(np.uint64)
+
+
+def _met(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of near nodes: each node that is near another in a bucket, with its leader there. nodes: (node, bits, keys, most)."""
+
+    def run(columns: list[np.ndarray]) -> list[np.ndarray]:
+        a, b = led(_words(columns[3:]), columns[2])
+        return [columns[1][a], columns[1][b]]
+
+    return _in_buckets(_members(nodes), run, "a bigint, b bigint")
+
+
+def _straddlers(nodes: DataFrame) -> DataFrame:
+    """(key, node) of nodes (node, bits, keys, most, sketch, part) that are near one of another part in the bucket."""
+
+    def run(columns: list[np.ndarray]) -> list[np.ndarray]:
+        words = _words(columns[3:-1])
+        found = straddling(words[:WORDS], columns[2], words[WORDS:], columns[-1])
+        return [columns[0][found], columns[1][found]]
+
+    places = [F.col("sketch")[k].alias(f"s{k}") for k in range(MIN_HASHES // 15)]
+    return _in_buckets(_members(nodes, *places, "part"), run, "key int, node bigint")
+
+
 def _tagged(live: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """((key, node, part), (key, main, n)): the component of each node of a key, and the largest component of each key that has several."""
     tagged = live.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
@@ -211,18 +360,15 @@ def _crowds(tagged: DataFrame, mixed: DataFrame, keys: DataFrame, texts: DataFra
 
 def _grouped(prints: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """(node, root) of the nodes that have a similar one."""
-    nodes = prints.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"), F.min("fp").alias("fp"))
-    members = nodes.select("node", F.explode("keys").alias("key")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    local = members.groupBy("key", "salt").agg(F.min("node").alias("hub"), F.count("*").alias("n"))
-    top = local.groupBy("key").agg(F.min("hub").alias("top"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    live = cut(members.join(local.drop("n").join(top, "key"), ["key", "salt"]).select("key", "node", "hub", "top"))
-    wanted = nodes.join(live.select("node").distinct(), "node", "left_semi")
-    sketches = cut(wanted.select("node", "sketch", "keys", "fp"))
+    nodes = prints.groupBy("node").agg(*(F.first(x).alias(x) for x in ("sketch", "bits", "keys", "most")), F.min("fp").alias("fp"))
+    tried = cut(_ordered(_met(nodes)))
+    live = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+    wanted = cut(nodes.join(live, "node", "left_semi"))
     packed = _packed(docs.select("fp", "text")).groupBy("fp").agg(F.first("z").alias("z"))  # copies are one row of each task before they are dealt out
-    texts = cut(packed.join(sketches.select("node", "fp"), "fp").select("node", "z"))
-    tried = cut(_ordered(live.select("node", "hub").union(live.select("hub", "top"))))
-    found = components(_verified(_near(tried, sketches), texts, least))
-    rest = _ordered(_crowds(*_tagged(live, found), sketches.select("node", "keys"), texts)).join(tried, ["a", "b"], "left_anti")
+    texts = cut(packed.join(wanted.select("node", "fp"), "fp").select("node", "z"))
+    found = components(_verified(_near(tried, wanted.select("node", "sketch")), texts, least))
+    parts = wanted.join(found, "node", "left").select("node", "bits", "keys", "most", "sketch", F.coalesce("root", "node").alias("part"))
+    rest = _ordered(_crowds(*_tagged(cut(_straddlers(parts)), found), wanted.select("node", "keys"), texts)).join(tried, ["a", "b"], "left_anti")
     links = found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(rest, texts, least))
     return components(links)
 
@@ -236,7 +382,7 @@ def group(docs: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(doc_id, fp, root) for each row of docs: equal roots for documents reachable over similar pairs; fp is a hash of the text.
 
     Null, empty and blank texts, which have no shingles, are similar to each other alone. Texts of under five words are one shingle. A repeated row gives
-    a row each; an empty table none. Runs jobs: sketches, members of shared keys and their texts are written once.
+    a row each; an empty table none. Runs jobs: fingerprints, near pairs and their texts are written once.
     """
     keyed = _keyed(docs)
     prints = cut(_prints(keyed))

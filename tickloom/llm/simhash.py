@@ -13,6 +13,7 @@ Documents with the same fingerprint are one node before anything is joined, so g
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,23 @@ def codeword_index(words: np.ndarray) -> np.ndarray:
     return (words ^ _leaders()[_remainder(words)]) >> 11
 
 
+@functools.cache
+def _errors() -> np.ndarray:
+    """By syndrome, the error patterns of weight 4 or less, lightest first; -1 where there are fewer than six."""
+    patterns = np.array([sum(c) for weight in range(5) for c in itertools.combinations([1 << i for i in range(23)], weight)])
+    out, n = np.full((2048, 6), -1), np.zeros(2048, np.int64)
+    for syndrome, pattern in zip(_remainder(patterns).tolist(), patterns.tolist(), strict=True):
+        out[syndrome, n[syndrome]] = pattern
+        n[syndrome] += 1
+    return out
+
+
+def codeword_lists(words: np.ndarray) -> np.ndarray:
+    """Indices of the codewords within four bits of each 23-bit word, in a last axis of six: one or six, the nearest first, and -1."""
+    errors = _errors()[_remainder(words)]
+    return np.where(errors < 0, -1, (words[..., None] ^ errors) >> 11)
+
+
 def segment_keys(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
     """For each segment: its values, its codeword index, and the indices of it and its one-bit neighbours, a column each."""
     values, own, near, shift = [], [], [], 64
